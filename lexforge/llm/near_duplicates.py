@@ -5,8 +5,8 @@ each. Each class has 128 registers: a shingle's hash picks the register, and the
 the count of leading zeros and nine bits of mantissa. Registers that no shingle hit are filled by further rounds
 of hashing, so short texts are compared as well as long ones. 25 bands of five registers name the candidates: a pair at
 the threshold of 0.85 is missed once in two million. Every class of a bucket meets the bucket's smallest one; where that
-leaves a bucket with several components, the classes outside its largest component meet all others of another component,
-in blocks, by registers only. Pairs whose corrected estimate is within 4.5 standard errors of the threshold are verified.
+leaves a bucket with several components, the classes outside its largest component meet all others of another component.
+Pairs whose corrected estimate is above the threshold less 4.5 standard errors are verified on full sets.
 
 Defined results: null or wordless texts have empty sets and link with nothing; null doc_ids link with nothing and keep a
 null component; repeated doc_ids are judged row by row; further columns are ignored.
@@ -24,8 +24,8 @@ from lexforge.llm.scratch import drop, release, saved
 
 REGISTERS, BAND, BANDS, MANTISSA = 128, 5, 25, 9
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, registers binary"
-#: Rows of a block in which registers are compared pair by pair.
-BLOCK = 512
+#: Rows of a block in which registers are compared pair by pair, and of the largest bucket that is one block.
+BLOCK, SMALL = 512, 32
 
 
 def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -142,34 +142,81 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def leftovers(buckets: DataFrame, labels: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
-    """Close pairs of different components in the buckets that hold several: those outside a bucket's largest
-    component meet every other member, block by block."""
+def close_pairs(table: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows marked out, each with the other rows of another component whose estimate reaches floor."""
+    parts, n = (table.column(c).to_numpy() for c in ("component", "n_shingles"))
+    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    out = table.column("out").to_numpy().astype(bool)
+    others = np.flatnonzero(~out)
+    for x in np.flatnonzero(out):
+        near = others[parts[others] != parts[x]]
+        yield x, near[estimate(regs[near], regs[x], n[near], n[x]) >= floor]
+
+
+def leftovers(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float, floor: float) -> DataFrame:
+    """Links between different components within buckets that hold several. A small bucket's close pairs are verified
+    one by one. Large buckets of one largest component are joined; those outside it meet every other member, block by
+    block, on full sets where registers are close, and a block returns no more links than it has rows."""
     held = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = held.groupBy("key", "component").agg(F.count("*").alias("n"))
-    by_key = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
-    by_key = by_key.select("key", F.col("top.component").alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
-    rows = held.join(by_key, "key").join(classes.select("doc_id", "registers", "n_shingles"), "doc_id")
+    by_key = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("main"), "total")
+    rows = saved(held.join(by_key, "key").select("key", "doc_id", "component", "main", "total"), "leftovers")
+    known = classes.select("doc_id", "registers", "n_shingles")
+    small = rows.where(F.col("total") <= SMALL).join(known, "doc_id")
+    small = small.withColumn("out", F.explode(F.when(F.col("component") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        found = [np.stack((np.minimum(ids[x], ids[near]), np.maximum(ids[x], ids[near]))) for x, near in close_pairs(table, floor)]
+        both = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    some = small.groupBy("key").applyInArrow(pairs, "a long, b long").distinct()
+    linked = verified(some, texts, width, threshold)
+
+    large = rows.where(F.col("total") > SMALL).select("main", "doc_id", "component").distinct()
+    sizes = large.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).cast("int").alias("outer"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pw, values = K.Powers(), K.byte_values(True)
+        for batch in batches:
+            for lo, hi, hashes, at in sets_of(batch.column(1), width, pw, values):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["doc_id", "hashes"])
+
+    sets = texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(packed, "doc_id long, hashes binary")
+    large = large.join(sizes, "main").join(known, "doc_id").join(sets, "doc_id")
     spread = F.abs(F.xxhash64("doc_id"))
-    outer, inner = (spread % F.col("outer")).cast("int"), (spread % F.col("blocks")).cast("int")
-    fields = ["key", "doc_id", "component", "registers", "n_shingles"]
-    left = rows.where("component <> main").select(*fields, outer.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("out"))
-    right = rows.select(*fields, F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), inner.alias("j"), F.lit(False).alias("out"))
-
-    def run(table: pa.Table) -> pa.Table:
-        out = table.column("out").to_numpy().astype(bool)
-        ids, parts, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        found: list[np.ndarray] = []
-        others = np.flatnonzero(~out)
-        for x in np.flatnonzero(out):
-            near = others[parts[others] != parts[x]]
-            near = near[estimate(regs[near], regs[x], n[near], n[x]) >= floor]
-            found.append(np.stack((np.minimum(ids[x], ids[near]), np.maximum(ids[x], ids[near]))))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    fields = ["main", "doc_id", "component", "registers", "n_shingles", "hashes"]
+    left = large.where("component <> main").select(*fields, (spread % F.col("outer")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("out"))
+    right = large.select(*fields, F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), (spread % F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("out"))
+
+    def links(table: pa.Table) -> pa.Table:
+        ids, parts = (table.column(c).to_numpy() for c in ("doc_id", "component"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        parent = {int(p): int(p) for p in parts}
+
+        def root(p: int) -> int:
+            while parent[p] != p:
+                parent[p] = parent[parent[p]]
+                p = parent[p]
+            return p
+
+        found = []
+        for x, near in close_pairs(table, floor):
+            own = sets[x]
+            sizes = np.array([len(sets[y]) for y in near], np.int64)
+            every = np.concatenate([sets[y] for y in near]) if len(near) else own[:0]
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes) if len(near) else sizes
+            for y in near[1000 * shared >= round(1000 * threshold) * (len(own) + sizes - shared)]:
+                p, q = root(int(parts[x])), root(int(parts[y]))
+                if p != q:
+                    parent[p] = q
+                    found.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    more = left.unionByName(right).groupBy("main", "i", "j").applyInArrow(links, "a long, b long")
+    return linked.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5) -> DataFrame:
@@ -184,16 +231,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, width: int = 5) ->
     buckets = saved(bands.join(firsts, "key"), "buckets")
     held = saved(classes.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), "held")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = saved(texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    texts = saved(texts.join(held.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     release(docs.sparkSession)
     stars = buckets.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links = saved(verified(close(stars, held, floor), texts, width, threshold), "links")
     labels = components(links)
-    rest = saved(leftovers(buckets.select("key", "doc_id"), labels, held, floor), "rest")
-    more = saved(verified(rest, texts, width, threshold), "links")
+    more = saved(leftovers(buckets.select("key", "doc_id"), labels, held, texts, width, threshold, floor), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    drop(buckets, held, texts, rest)
+    drop(buckets, held, texts)
     release(docs.sparkSession)
     named = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["n_shingles", "fp1", "fp2"], "left")

@@ -1,10 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
+from lexforge.llm.decontamination import op2_decontaminate
+from lexforge.llm.language import op7_language
+from lexforge.llm.mixture import op1_mix_sources
 from lexforge.llm.near_duplicates import op4_near_duplicates
+from lexforge.llm.quality import op10_quality
 
 
 def queries():
-    return {f.__name__: f for f in (op4_near_duplicates,)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op4_near_duplicates, op7_language, op10_quality)}
 
 
 def oracle_sql():
