@@ -42,11 +42,11 @@ def targets(sources: DataFrame, schedule: tuple, cap: float) -> DataFrame:
     return reached.withColumn("found", found).select("key", "source_size", "first", "last", F.least(F.col("source_size") * F.lit(float(cap)), F.col("found") * F.col("weight")).alias("target"))
 
 
-def allocate(docs: DataFrame, schedule: tuple = SCHEDULE, cap: float = CAP, seed: int = 7) -> DataFrame:
-    """row (the caller's columns), size, source_size, target, taken, copies (pass, taken, position)."""
+def allocate(docs: DataFrame, schedule: tuple = SCHEDULE, cap: float = CAP, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+    """row (the caller's columns, or those of keep), size, source_size, target, taken, copies (pass, taken, position)."""
     key = F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(F.col("source").cast("string"), F.lit("")))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), size.alias("size"), key.alias("key"), F.col("source").alias("source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 52))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), size.alias("size"), key.alias("key"), F.col("source").alias("source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 52))
     parts = rows.groupBy("key", "bucket").agg(F.sum("size").alias("part"), F.first("source").alias("source"))
     sources = targets(parts.groupBy("key").agg(F.first("source").alias("source"), F.sum("part").alias("source_size")), schedule, cap)
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,5 +77,5 @@ def mix(docs: DataFrame, schedule: tuple = SCHEDULE, cap: float = CAP, seed: int
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     first = F.try_element_at(F.col("copies.position"), F.lit(1))
-    placed = allocate(docs).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("position"))
+    placed = allocate(docs, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("position"))
     return placed.sort(F.col("position").asc_nulls_last(), "doc_id")

@@ -94,19 +94,20 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield lo, hi, np.concatenate(parts), at
 
 
-def fit_rows(rated: DataFrame, fit_rows_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, row starts and grades of the documents to fit, from (doc_id, text, grade)."""
+def fit_rows(docs: DataFrame, grades: DataFrame, fit_rows_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, row starts and grades of the documents to fit; grades: (doc_id, grade). At most fit_rows_ grades are
+    chosen, so they are broadcast and no text is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, ids, at in features(batch.column(0)):
                 packed = [ids[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["grade", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["h", "grade", "ids"])
 
-    chosen = rated.where("grade is not null").withColumn("h", F.xxhash64("doc_id", F.lit("quality"))).orderBy("h", "doc_id", "grade", F.xxhash64("text")).limit(fit_rows_)
-    rows = chosen.select("text", F.col("grade").cast("int").alias("grade")).mapInArrow(run, "grade int, ids binary").collect()
-    ids = [np.frombuffer(bytes(r.ids), np.uint32) for r in rows]
-    return single(ids, np.array([r.grade for r in rows], np.int64))
+    chosen = grades.where("grade is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit("quality"))).orderBy("h", "doc_id", "grade").limit(fit_rows_)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "h", F.col("grade").cast("int").alias("grade"))
+    found = sorted((r.h, r.grade, bytes(r.ids)) for r in rows.mapInArrow(run, "h long, grade int, ids binary").toLocalIterator())
+    return single([np.frombuffer(ids, np.uint32) for _, _, ids in found], np.array([grade for _, grade, _ in found], np.int64))
 
 
 def single(ids: list[np.ndarray], grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,14 +196,29 @@ def grade(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
-def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, grade) of labelled documents."""
+def select(docs: DataFrame, model: Model, keep_tail: float = KEEP_TAIL) -> DataFrame:
+    """The rows of docs, with all their columns, that the model keeps."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for lo, hi, ids, at in features(batch.column(place)):
+                tails = model.tails(np.add.reduceat(model.weights[ids].astype(np.float64), at[:-1]))
+                yield batch.slice(lo, hi - lo).filter(pa.array(tails[-1] >= keep_tail)) if len(tails) else batch.slice(lo, hi - lo)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rated(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) of labels (doc_id, quality, toxic)."""
     value = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), TOP)
-    return docs.select("doc_id", "text").join(labels.select("doc_id", value.alias("grade")).where("grade is not null"), "doc_id")
+    return labels.select("doc_id", value.alias("grade"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows_: int = FIT_ROWS) -> Model:
-    return fit(*fit_rows(rated(docs, labels), fit_rows_))
+    return fit(*fit_rows(docs, rated(labels), fit_rows_))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
