@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import kernels as K
 
-FIT_ROWS, MIN_ROWS, SURE, BITS, ROUNDS, RIDGE, KEEP_TAIL = 12_000, 5, 5.0, 20, 400, 1e-7, 0.7
+FIT_ROWS, MIN_ROWS, SURE, BITS, ROUNDS, RIDGE, KEEP_TAIL = 12_000, 5, 5.0, 20, 400, 1e-7, 0.5
 #: Bytes of a word's start that are a feature too, as insults are inflected.
 STEM = 4
 #: Hashed words and word starts, and then the levels, which share no place with words.
