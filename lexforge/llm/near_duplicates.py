@@ -108,18 +108,20 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw, values = K.Powers(), K.byte_values(True)
-        for batch in batches:
-            sets: list[list[np.ndarray]] = [[], []]
-            for side in (0, 1):
-                for _, _, hashes, at in sets_of(batch.column(2 + side), width, pw, values):
-                    sets[side] += [hashes[at[i] : at[i + 1]] for i in range(len(at) - 1)]
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = shared > 0 and 1000 * shared >= round(1000 * threshold) * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few texts at once
+                batch = whole.slice(at, 256)
+                sets: list[list[np.ndarray]] = [[], []]
+                for side in (0, 1):
+                    for _, _, hashes, first in sets_of(batch.column(2 + side), width, pw, values):
+                        sets[side] += [hashes[first[i] : first[i + 1]] for i in range(len(first) - 1)]
+                keep = np.zeros(batch.num_rows, bool)
+                for i, (x, y) in enumerate(zip(*sets, strict=True)):
+                    both = np.concatenate((x, y))
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep[i] = shared > 0 and 1000 * shared >= round(1000 * threshold) * (len(x) + len(y) - shared)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")

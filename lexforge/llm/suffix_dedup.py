@@ -33,9 +33,9 @@ from lexforge.llm.scratch import drop, release, saved
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a batch, and for each part of the anchors.
-BATCH, PART = 8 << 20, 16 << 20
+BATCH, PART = 4 << 20, 8 << 20
 #: Suffixes that are sorted at once, if one anchor hasn't more.
-SORTED = 1 << 20
+SORTED = 1 << 18
 WORK = "kind int, key long, text_hash long, text binary, data binary"
 
 
