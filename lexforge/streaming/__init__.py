@@ -1 +1 @@
-
+"""Stream operators: keyed running lengths, affinities, routing and upserting sinks."""
