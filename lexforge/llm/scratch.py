@@ -2,6 +2,7 @@
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,9 @@ def drop(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of jobs that have ended."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver drop the shuffle files of jobs that have ended, before others take as much disk again. The driver's
+    cleaner works beside this thread, hence the pauses."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
