@@ -89,7 +89,7 @@ ratios AS (SELECT *, {ratio('suffix_productivity', 'prefix_productivity')} AS p,
 means AS (SELECT *, CASE WHEN n_words < 50 THEN 0.0 WHEN p IS NULL AND w IS NULL THEN 999.0 WHEN p IS NULL THEN w * 2 WHEN w IS NULL THEN p * 2 ELSE sqrt(p * w) END AS mean FROM ratios)
 SELECT lang, n_words, CAST(suffix_productivity AS BIGINT) AS suffix_productivity, CAST(prefix_productivity AS BIGINT) AS prefix_productivity, suffix_candidates, prefix_candidates, suffix_words, prefix_words, round(mean, 6) AS ratio,
   CASE WHEN n_words < 50 THEN 'insufficient_data' WHEN mean > 1.4 THEN 'strongly_suffixing' WHEN mean > 1.05 THEN 'weakly_suffixing' WHEN mean < 1 / 1.4 THEN 'strongly_prefixing' WHEN mean < 1 / 1.05 THEN 'weakly_prefixing' ELSE 'neutral' END AS bias,
-  round((least(1.0, (suffix_candidates + prefix_candidates) / 30.0) + least(1.0, n_words / 2000.0)) / 2, 6) AS confidence FROM means"""
+  round((least(1e0, (suffix_candidates + prefix_candidates) / 30e0) + least(1e0, n_words / 2000e0)) / 2, 6) AS confidence FROM means"""
 
 
 @plan("A07")
@@ -174,7 +174,7 @@ kids AS (SELECT e.lang, e.side, e.parent, count(*) AS n, max(CASE WHEN place = 1
   count(CASE WHEN CAST(e.freq AS DOUBLE) / e.parent_freq > {fragment.replace('a.affix', 'e.parent')} THEN 1 END) AS above, count(p.parent) AS deep
   FROM places e LEFT JOIN parents p ON e.lang = p.lang AND e.side = p.side AND e.child = p.parent GROUP BY e.lang, e.side, e.parent),
 facts AS (SELECT a.*, coalesce(k.n, 0) AS n_kids, coalesce(k.first_share, 0.0) AS first_share, coalesce(k.second_to_first, 0.0) AS second_to_first, coalesce(k.above, 0) AS above, coalesce(k.deep, 0) AS deep, s.family_freq, s.family, s.in_family, length(a.affix) AS n,
-  share > 0.70 AS often, (length(a.affix) >= 5 AND share > 0.55) OR (length(a.affix) >= 6 AND share > 0.25 AND coalesce(k.n, 0) > 0) AS settled, q.affix IS NOT NULL AS parent_in
+  a.share > 0.70 AS often, (length(a.affix) >= 5 AND a.share > 0.55) OR (length(a.affix) >= 6 AND a.share > 0.25 AND coalesce(k.n, 0) > 0) AS settled, q.affix IS NOT NULL AS parent_in
   FROM a LEFT JOIN kids k ON a.lang = k.lang AND a.side = k.side AND a.affix = k.parent
   LEFT JOIN (SELECT DISTINCT lang, side, parent, family_freq, family, TRUE AS in_family FROM places) s ON a.lang = s.lang AND a.side = s.side AND a.stem = s.parent
   LEFT JOIN a q ON a.lang = q.lang AND a.side = q.side AND a.stem = q.affix),

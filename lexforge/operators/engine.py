@@ -38,7 +38,7 @@ def hourly_events(d: Dialect) -> str:
 @plan("engine")
 def user_sessions(d: Dialect) -> str:
     """Events of a user up to 30 minutes apart."""
-    gap = d.of("unix_micros(ts) - unix_micros(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))", "epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))")
+    gap = d.of("unix_micros(CAST(ts AS TIMESTAMP)) - unix_micros(lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts, event_id))", "epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))")
     return f"""WITH gaps AS (SELECT *, {gap} AS gap FROM events), marks AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM marks GROUP BY user_id, session"""
 

@@ -19,10 +19,10 @@ def packed(d: Dialect) -> str:
     The running place is a sum over turns, each turn numbered by itself, so no window holds all tokens."""
     return f"""{ids(d)}, lengths AS (SELECT conv_id, turn, count(*) AS n FROM sent GROUP BY conv_id, turn),
 starts AS (SELECT conv_id, turn, coalesce(sum(n) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM lengths),
-numbered AS (SELECT t.id, CAST(s.start + row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY t.place) - 1 AS BIGINT) AS at FROM sent t JOIN starts s ON t.conv_id = s.conv_id AND t.turn = s.turn),
+numbered AS (SELECT t.id, CAST(s.start + row_number() OVER (PARTITION BY t.conv_id, t.turn ORDER BY t.place) - 1 AS BIGINT) AS spot FROM sent t JOIN starts s ON t.conv_id = s.conv_id AND t.turn = s.turn),
 shape AS (SELECT CAST(ceil(ceil(count(*) / CAST({STREAMS} AS DOUBLE)) / {MAX_LEN}) * {MAX_LEN} AS BIGINT) AS per_stream, count(*) AS n FROM sent),
-slots AS (SELECT CAST(id AS BIGINT) AS id, at, per_stream FROM numbered CROSS JOIN shape UNION ALL SELECT {PAD}, CAST(at AS BIGINT), per_stream FROM shape {d.count('n', f'per_stream * {STREAMS} - 1', 'at')}),
-packed AS (SELECT CAST({d.of('at DIV per_stream', 'at // per_stream')} AS BIGINT) AS stream, CAST({d.of(f'(at % per_stream) DIV {MAX_LEN}', f'(at % per_stream) // {MAX_LEN}')} AS BIGINT) AS step, CAST(at % per_stream % {MAX_LEN} AS BIGINT) AS place, id FROM slots)"""
+slots AS (SELECT CAST(id AS BIGINT) AS id, spot, per_stream FROM numbered CROSS JOIN shape UNION ALL SELECT {PAD}, CAST(spot AS BIGINT), per_stream FROM shape {d.count('n', f'per_stream * {STREAMS} - 1', 'spot')}),
+packed AS (SELECT CAST({d.of('spot DIV per_stream', 'spot // per_stream')} AS BIGINT) AS stream, CAST({d.of(f'(spot % per_stream) DIV {MAX_LEN}', f'(spot % per_stream) // {MAX_LEN}')} AS BIGINT) AS step, CAST(spot % per_stream % {MAX_LEN} AS BIGINT) AS place, id FROM slots)"""
 
 
 @plan("N38 K08 K10 K11 W07")
@@ -102,7 +102,7 @@ SELECT a.conv_id, a.turn, a.n AS n_masked, b.n - 1 AS n_target, a.n + b.n - 1 AS
 @plan("A25 K23")
 def tokenizer_report(d: Dialect) -> str:
     """Tokens a turn, share outside the vocabulary, used part of the vocabulary."""
-    return f"""WITH {ids(d)} SELECT count(*) AS n_tokens, count(DISTINCT id) AS n_used, round(avg(CASE WHEN id = {UNK} THEN 1.0 ELSE 0.0 END), 6) AS oov, round(count(*) / CAST(count(DISTINCT {d.of('struct(conv_id, turn)', '(conv_id, turn)')}) AS DOUBLE), 6) AS per_turn, round(count(DISTINCT id) / CAST((SELECT count(*) FROM vocab) AS DOUBLE), 6) AS utilisation FROM sent WHERE id >= {UNK}"""
+    return f"""WITH {ids(d)} SELECT count(*) AS n_tokens, count(DISTINCT id) AS n_used, round(avg(CASE WHEN id = {UNK} THEN 1e0 ELSE 0e0 END), 6) AS oov, round(count(*) / CAST(count(DISTINCT {d.of('struct(conv_id, turn)', '(conv_id, turn)')}) AS DOUBLE), 6) AS per_turn, round(count(DISTINCT id) / CAST((SELECT count(*) FROM vocab) AS DOUBLE), 6) AS utilisation FROM sent WHERE id >= {UNK}"""
 
 
 @plan("T05 T05a W06 A27 V09")
@@ -131,4 +131,4 @@ SELECT conv_id, turn, count(*) AS n, count(CASE WHEN gone THEN 1 END) AS n_dropp
 @plan("C08")
 def class_weights(d: Dialect) -> str:
     """Inverse class frequencies, normalised to a mean of 1."""
-    return "WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic), w AS (SELECT *, 1.0 / n AS inverse FROM c) SELECT quality, toxic, n, round(inverse / avg(inverse) OVER (), 6) AS weight FROM w"
+    return "WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY quality, toxic), w AS (SELECT *, 1e0 / n AS inverse FROM c) SELECT quality, toxic, n, round(inverse / avg(inverse) OVER (), 6) AS weight FROM w"

@@ -63,7 +63,7 @@ FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) x JOIN {languages
 @plan("A26 A28")
 def skill_report(d: Dialect) -> str:
     """Skills of every class, also of those that have none."""
-    return f"SELECT c.task_class, count(s.skill_id) AS n, round(coalesce(avg(s.confidence), 0), 6) AS mean_confidence FROM {d.rows('task_class', *((c,) for c in CLASSES))} c LEFT JOIN {skills(d)} s ON s.task_class = c.task_class GROUP BY c.task_class"
+    return f"SELECT c.task_class, count(s.skill_id) AS n, round(coalesce(avg(CAST(s.confidence AS DOUBLE)), 0), 6) AS mean_confidence FROM {d.rows('task_class', *((c,) for c in CLASSES))} c LEFT JOIN {skills(d)} s ON s.task_class = c.task_class GROUP BY c.task_class"
 
 
 @plan("F24 F25 N34 A18")

@@ -50,7 +50,7 @@ def forms_ending_in_a_linker(d: Dialect) -> str:
     """Forms that end in o or i, stand before five different rests, half of them words."""
     return f"""WITH {d.words}, cuts AS (SELECT lang, left(word, n) AS form, right(word, length(word) - n) AS rest FROM words {d.count('3', 'length(word) - 2', 'n')}),
 joined AS (SELECT c.lang, c.form, c.rest, w.word IS NOT NULL AS free FROM cuts c LEFT JOIN words w ON c.lang = w.lang AND c.rest = w.word WHERE right(c.form, 1) IN ('o', 'i'))
-SELECT lang, form, count(DISTINCT rest) AS n_rests, round(avg(CASE WHEN free THEN 1.0 ELSE 0.0 END), 6) AS free_share FROM joined GROUP BY lang, form HAVING count(DISTINCT rest) >= 5 AND avg(CASE WHEN free THEN 1.0 ELSE 0.0 END) >= 0.5"""
+SELECT lang, form, count(DISTINCT rest) AS n_rests, round(avg(CASE WHEN free THEN 1e0 ELSE 0e0 END), 6) AS free_share FROM joined GROUP BY lang, form HAVING count(DISTINCT rest) >= 5 AND avg(CASE WHEN free THEN 1.0 ELSE 0.0 END) >= 0.5"""
 
 
 @plan("A19f A19g A19h A19i")
