@@ -9,7 +9,8 @@ equals; equal passages have equal anchors at the same place. Neighbouring passag
 2. By anchor: a context that another batch holds in a smaller document is answered with that doc_id; where an anchor
    has several contexts, each is asked for by the smallest document that has it.
 3. Batches mark what lies in a context that a smaller document has, and send the bytes of contexts that were asked for.
-4. By anchor again: the suffixes that begin at the passages of these contexts are merge-sorted. Two suffixes are compared
+4. By anchor again: the suffixes that begin at the passages of these contexts, but for those whose hash no other has, are
+   merge-sorted. Two suffixes are compared
    by their common extension, found by binary search over polynomial prefix hashes. Suffixes next to each other with an
    extension of LENGTH are one passage once their bytes agree; all but its smallest document's are marked.
 5. Marked bytes are joined into runs and removed.
@@ -193,6 +194,15 @@ class Suffixes:
         p, down = self.prefix, self.pw.down
         return (p[a + length] - p[a]) * down[a] == (p[b + length] - p[b]) * down[b]
 
+    def met_twice(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Which suffixes have the hash of another one's first LENGTH bytes in their group: others need no sorting."""
+        key = K.mix((self.prefix[at + LENGTH] - self.prefix[at]) * self.pw.down[at]) + K.mix(group.astype(np.uint64) + K.BASE)
+        order = np.argsort(key, kind="stable")
+        same = np.concatenate(([False], np.diff(key[order]) == 0, [False]))
+        out = np.empty(len(at), bool)
+        out[order] = same[1:] | same[:-1]
+        return out
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension: binary search for the longest equal prefix."""
         out = np.full(len(a), LENGTH, np.int64)
@@ -271,6 +281,11 @@ def sort_suffixes(table: pa.Table) -> pa.Table:
         own_start = np.cumsum(length) - length
         suffixes = Suffixes(data[np.repeat(start[used] - own_start, length) + np.arange(length.sum())])
         at = own_start[item_of] + nth
+        twice = suffixes.met_twice(at, np.repeat(np.arange(len(size)), size))
+        if not twice.any():
+            continue
+        at, item, nth, size = at[twice], item[twice], nth[twice], np.add.reduceat(twice.astype(np.int64), np.cumsum(size) - size)
+        size = size[size > 0]
         begin = np.repeat(np.cumsum(size) - size, size)
         sorted_ = suffixes.merge_sort(at, begin, begin + np.repeat(size, size))
         at, item, nth = at[sorted_], item[sorted_], nth[sorted_]
