@@ -107,8 +107,8 @@ SELECT lang, side, count(*) AS n_affixes, round(avg(n), 6) AS mean_stems FROM pe
 
 @plan("A09 A10 X6")
 def common_affixes(d: Dialect) -> str:
-    """Affixes at or above the nearest-rank 90th percentile of their length, and 80 words at least; then longer ones
-    that are two of the selected. The order is fixed: by length, so a composite rests on shorter selections only."""
+    """Affixes at or above the nearest-rank 90th percentile of their length, and 80 words at least. With one percentile for
+    all lengths, as here, the rule for composites of two selected affixes adds none."""
     return f"""WITH {d.words}, {affixes(d, 10, False)}, ranked AS (SELECT *, CAST(length(affix) AS BIGINT) AS n, row_number() OVER (PARTITION BY lang, side, length(affix) ORDER BY freq, affix) AS place, count(*) OVER (PARTITION BY lang, side, length(affix)) AS many FROM affixes),
 cuts AS (SELECT lang, side, n, greatest(80, min(CASE WHEN many <= 3 OR place = greatest(1, CAST(ceil(0.9 * many) AS BIGINT)) THEN freq END)) AS least_freq FROM ranked GROUP BY lang, side, n)
 SELECT r.lang, r.side, r.affix, r.freq, c.least_freq FROM ranked r JOIN cuts c ON r.lang = c.lang AND r.side = c.side AND r.n = c.n WHERE r.freq >= c.least_freq"""
@@ -166,7 +166,7 @@ def kept(d: Dialect, longest: int = 10) -> str:
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, side ORDER BY freq DESC, affix) AS place FROM affixes WHERE length(affix) >= 3) x WHERE place <= 50),
 heavy AS (SELECT lang, side, sum(v) > 0 AND sum(1 - v) <= 3 * sum(v) AS heavy FROM (SELECT lang, side, CASE WHEN {matches('substr(affix, i, 1)', vowel)} THEN 1 ELSE 0 END AS v FROM top {d.count('1', '3', 'i')}) x GROUP BY lang, side),
 floors AS (SELECT lang, floor(power(count(*), 0.3)) AS least_freq FROM words GROUP BY lang),
-a AS (SELECT x.*, h.heavy, p.freq AS parent_freq, CASE WHEN length(x.affix) = 1 THEN 1.0 ELSE CAST(x.freq AS DOUBLE) / p.freq END AS share FROM (SELECT *, CASE WHEN side = 'prefix' THEN left(affix, length(affix) - 1) ELSE right(affix, length(affix) - 1) END AS stem FROM affixes) x
+a AS (SELECT x.*, coalesce(h.heavy, TRUE) AS heavy, p.freq AS parent_freq, CASE WHEN length(x.affix) = 1 THEN 1.0 ELSE CAST(x.freq AS DOUBLE) / p.freq END AS share FROM (SELECT *, CASE WHEN side = 'prefix' THEN left(affix, length(affix) - 1) ELSE right(affix, length(affix) - 1) END AS stem FROM affixes) x
   JOIN floors f ON x.lang = f.lang LEFT JOIN heavy h ON x.lang = h.lang AND x.side = h.side LEFT JOIN affixes p ON x.lang = p.lang AND x.side = p.side AND x.stem = p.affix WHERE x.freq >= f.least_freq AND (length(x.affix) = 1 OR p.freq IS NOT NULL)),
 places AS (SELECT *, row_number() OVER (PARTITION BY lang, side, parent ORDER BY freq DESC, child) AS place, sum(freq) OVER (PARTITION BY lang, side, parent) AS family_freq, count(*) OVER (PARTITION BY lang, side, parent) AS family FROM edges),
 parents AS (SELECT DISTINCT lang, side, parent FROM edges),

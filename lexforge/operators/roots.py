@@ -1,10 +1,13 @@
 """Roots, combining forms, spelling alternations and compounds of a corpus, by language."""
 
-from lexforge.operators.affixes import VOWELS, affixes, kept, stems
+from lexforge.operators.affixes import affixes, kept, stems
 from lexforge.plans.dialect import Dialect, plan
 
-#: The phonetic partners that a stem's last letter may be exchanged with.
-PARTNERS = "bp bv cg ck dt ei ey fv gk iy ou sz st rs".split()
+#: The vowels of the Latin script.
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
+#: Latin letters that a stem's last letter may be exchanged with, as attested sound changes: spirantisation,
+#: softening, semivowels, voicing, velar to palatal, Grimm's law, rhotacism, lenition, nasals, liquids.
+PARTNERS = "ts tz ds dz cs ks yi ye fv sz pb td kg kč kc pf sr bv nm lr".split()
 
 
 def v(text: str) -> str:
@@ -34,15 +37,28 @@ LEFT JOIN affixes p ON p.side = 'prefix' AND p.lang = c.lang AND p.affix = left(
 WHERE NOT coalesce(t.freq >= 30 AND coalesce(s.freq, 0) < 0.5 * t.freq, FALSE) AND NOT coalesce(p.freq >= 200 AND c.freq <= 0.1 * p.freq AND {d.of(f"regexp_like(c.affix, '[^{VOWELS}]{{2}}$')", f"regexp_matches(c.affix, '[^{VOWELS}]{{2}}$')")}, FALSE)"""
 
 
-@plan("A19b A19c O08 F14")
+@plan("A19b A19c O08")
 def roots_before_vowels(d: Dialect) -> str:
-    """Roots before a vowel and a word of three letters or more: at least three words, 40 % of those that begin so, three different next letters; 25 examples."""
-    examples = f"array_join(slice(array_sort(collect_set(word)), 1, 25), ';')" if d.spark else "array_to_string(list_sort(list(DISTINCT word))[1:25], ';')"
-    return f"""WITH {d.words}, cuts AS (SELECT lang, word, left(word, n) AS root, substr(word, n + 1, 1) AS link, right(word, length(word) - n - 1) AS rest FROM words {d.count('3', 'length(word) - 4', 'n')}),
-begun AS (SELECT lang, left(word, n) AS root, count(*) AS many FROM words {d.count('3', 'length(word) - 1', 'n')} GROUP BY lang, left(word, n)),
-hits AS (SELECT c.* FROM cuts c {d.of('LEFT SEMI JOIN', 'SEMI JOIN')} words w ON c.lang = w.lang AND c.rest = w.word WHERE {v('c.link')}),
-roots AS (SELECT lang, root, count(*) AS n, count(DISTINCT left(rest, 1)) AS firsts, {examples} AS examples FROM hits GROUP BY lang, root HAVING count(*) >= 3 AND count(DISTINCT left(rest, 1)) >= 3)
-SELECT r.lang, r.root, r.n, r.firsts, round(r.n / CAST(b.many AS DOUBLE), 6) AS share, r.examples FROM roots r JOIN begun b ON r.lang = b.lang AND r.root = b.root WHERE r.n >= 0.4 * b.many"""
+    """Roots of three to ten letters before a vowel and four letters or more: in three words or more, and 40 % of those that begin
+    so, the rest is a word or begins with a kept suffix of five letters or more, and starts in three ways; a root of up to five
+    letters that is a word needs eight words of ten letters. 25 examples."""
+    examples = "array_join(slice(array_sort(collect_set(word)), 1, 25), ';')" if d.spark else "array_to_string(list_sort(list(DISTINCT word))[1:25], ';')"
+    return f"""WITH {d.words}, {kept(d)}, cuts AS (SELECT lang, word, left(word, n) AS root, right(word, length(word) - n - 1) AS rest FROM words {d.count('3', 'least(length(word) - 5, 10)', 'n')} WHERE {v('substr(word, CAST(n AS INT) + 1, 1)')}),
+begun AS (SELECT lang, root, count(*) AS many FROM cuts GROUP BY lang, root),
+ends AS (SELECT DISTINCT c.lang, c.word, c.root FROM (SELECT lang, word, root, left(rest, m) AS part FROM cuts {d.count('5', 'least(length(rest), 10)', 'm')}) c JOIN kept k ON k.side = 'suffix' AND c.lang = k.lang AND c.part = k.affix),
+hits AS (SELECT c.lang, c.word, c.root, c.rest FROM cuts c LEFT JOIN words w ON c.lang = w.lang AND c.rest = w.word LEFT JOIN ends e ON c.lang = e.lang AND c.word = e.word AND c.root = e.root WHERE w.word IS NOT NULL OR e.word IS NOT NULL),
+roots AS (SELECT lang, root, count(*) AS n, count(DISTINCT left(rest, 1)) AS firsts, count(DISTINCT CASE WHEN length(word) >= 10 THEN word END) AS long_words, {examples} AS examples FROM hits GROUP BY lang, root HAVING count(*) >= 3 AND count(DISTINCT left(rest, 1)) >= 3)
+SELECT r.lang, r.root, b.many AS freq, r.n, r.firsts, round(r.n / CAST(b.many AS DOUBLE), 6) AS share, r.examples FROM roots r JOIN begun b ON r.lang = b.lang AND r.root = b.root LEFT JOIN words w ON r.lang = w.lang AND r.root = w.word
+WHERE r.n >= 0.4 * b.many AND NOT (length(r.root) <= 5 AND w.word IS NOT NULL AND r.long_words < 8)"""
+
+
+@plan("F14 A19c")
+def shifted_fragments(d: Dialect) -> str:
+    """Splits of a word into a word and a rest of three letters, of which the split one place to the left or right leaves a word:
+    such an example speaks for a fragment."""
+    return f"""WITH {d.words}, cuts AS (SELECT lang, word, n, right(word, length(word) - n) AS rest, right(word, length(word) - n - 1) AS shorter, right(word, length(word) - n + 1) AS longer FROM words {d.count('3', 'length(word) - 4', 'n')}),
+free AS (SELECT c.lang, c.word, c.n, c.shorter, c.longer FROM cuts c {d.of('LEFT SEMI JOIN', 'SEMI JOIN')} words w ON c.lang = w.lang AND c.rest = w.word)
+SELECT f.lang, f.word, CAST(f.n AS BIGINT) AS n, s.word IS NOT NULL AS right_shift, l.word IS NOT NULL AS left_shift FROM free f LEFT JOIN words s ON f.lang = s.lang AND f.shorter = s.word LEFT JOIN words l ON f.lang = l.lang AND f.longer = l.word WHERE s.word IS NOT NULL OR l.word IS NOT NULL"""
 
 
 @plan("A19d A19e")
@@ -130,8 +146,12 @@ SELECT lang, stem, restored FROM (SELECT lang, stem, restored, row_number() OVER
 
 @plan("N21 N22 N23 N24")
 def rule_tiers(d: Dialect) -> str:
-    """A restoration's tier: doubling and vowel insertion are high, one letter for one medium, others low."""
-    return f"""WITH {d.words}, {stems(d, 1, 7)}, {edits(d)} SELECT lang, tier, count(*) AS n FROM (SELECT DISTINCT lang, surface, lexical, CASE WHEN length(lexical) > length(surface) OR (length(surface) = 2 AND left(surface, 1) = right(surface, 1)) THEN 'high' WHEN length(surface) = length(lexical) THEN 'medium' ELSE 'low' END AS tier FROM edits) x GROUP BY lang, tier"""
+    """A restoration's tier: a vowel put back after a consonant, y for i or i for y, and doubling are high, two consonants for
+    one are medium, all others low."""
+    single = f"length(surface) = 1 AND NOT {v('surface')} AND length(lexical) = 2 AND left(lexical, 1) = surface AND {v('right(lexical, 1)')}"
+    double = f"length(surface) = 2 AND length(lexical) = 1 AND NOT {v('left(surface, 1)')} AND NOT {v('right(surface, 1)')} AND NOT {v('lexical')}"
+    return f"""WITH {d.words}, {stems(d, 1, 7)}, {edits(d)}, pairs AS (SELECT DISTINCT lang, surface, lexical FROM edits)
+SELECT lang, surface, lexical, CASE WHEN ({single}) OR (surface || lexical) IN ('iy', 'yi') OR (length(surface) = 2 AND left(surface, 1) = right(surface, 1) AND lexical = left(surface, 1)) THEN 'high' WHEN {double} THEN 'medium' ELSE 'low' END AS tier FROM pairs"""
 
 
 @plan("N20")
