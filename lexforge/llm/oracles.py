@@ -27,8 +27,8 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL (SELECT unnest(generate_series(0, len(h) // 2 - 50)) AS i)),
 firsts AS (SELECT s, min(doc_id) AS first_doc FROM starts GROUP BY s HAVING count(DISTINCT doc_id) > 1),
 covered AS (SELECT DISTINCT t.doc_id, t.i + k AS i FROM starts t JOIN firsts f ON t.s = f.s AND f.first_doc < t.doc_id, LATERAL (SELECT unnest(generate_series(0, 49)) AS k)),
-bytes AS (SELECT d.doc_id, b.i, substr(h, 2 * b.i + 1, 2) AS x FROM d, LATERAL (SELECT unnest(generate_series(0, len(h) // 2 - 1)) AS i) b),
+bytes AS (SELECT d.doc_id, b.i, substr(h, 2 * b.i + 1, 2) AS x FROM d SEMI JOIN covered c ON d.doc_id = c.doc_id, LATERAL (SELECT unnest(generate_series(0, len(h) // 2 - 1)) AS i) b),
 marked AS (SELECT y.doc_id, y.i, y.x, c.i IS NOT NULL AS gone FROM bytes y LEFT JOIN covered c ON y.doc_id = c.doc_id AND y.i = c.i),
 edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS opens FROM marked),
 sums AS (SELECT doc_id, count(CASE WHEN gone THEN 1 END) AS n_removed, count(CASE WHEN opens THEN 1 END) AS n_spans, string_agg(CASE WHEN NOT gone THEN x END, '' ORDER BY i) AS kept FROM edges GROUP BY doc_id)
-SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN sums s ON d.doc_id = s.doc_id"""
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN s.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256 FROM d LEFT JOIN sums s ON d.doc_id = s.doc_id"""
