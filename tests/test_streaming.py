@@ -45,5 +45,5 @@ def test_upserting_sink_and_routes(spark, tmp_path):
 
 
 def test_windows_close_by_watermark(spark, tmp_path):
-    df = stream(spark, tmp_path, "ts timestamp, event_type string, value double", [[("2024-01-01T00:10:00", "a", 1.0), ("2024-01-01T00:50:00", "a", 2.0)], [("2024-01-01T05:00:00", "a", 1.0)], [("2024-01-01T00:20:00", "a", 9.0)]])
+    df = stream(spark, tmp_path, "ts timestamp, event_type string, value double", [[("2024-01-01T00:10:00", "a", 1.0), ("2024-01-01T00:50:00", "a", 2.0)], [("2024-01-01T05:00:00", "a", 1.0)], [("2024-01-01T05:05:00", "a", 1.0)], [("2024-01-01T00:20:00", "a", 9.0)]])
     assert [(r[2], r[3]) for r in result(tmp_path, S.windowed_counts(df), "append")][:1] == [(2, 3.0)]
