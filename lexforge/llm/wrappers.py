@@ -6,9 +6,10 @@ repeated group, what one side lacks becomes optional, and texts that differ beco
 how many pages have it, how much text stands there and, until it becomes a slot, the text itself.
 
 The wrapper of a host tells where its article is: in article or main, or else in the element that holds most of the text that
-varies. Menus, headers, footers, asides, forms, notices, adverts and comments are left out by tag, class, id or role, and
-so are texts of the article's place that are the same on three pages or more, when others there vary. A page
-is aligned with its host's wrapper, and the texts at the article's places are its blocks.
+varies. Menus, headers, footers, asides, forms, notices, adverts and comments are left out by tag, class, id or role; classes
+never leave out html, body, main or article, and has-sidebar and the like only tell of a layout. A page
+is aligned with its host's wrapper, and the texts at the article's places are its blocks. A page that has no article or main,
+and less than half of its varying text at its host's place, has its own place: its element that holds most of that text.
 
 Wrappers are inferred within Arrow batches first, then by host and salt, then by host, so that no task meets all pages of
 a large host. A wrapper's size follows the variety of its host's structure, not the number of pages.
@@ -36,7 +37,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 BOILERPLATE = frozenset("head nav header footer aside form menu dialog button".split())
 #: Whole words in class, id or role that name something else than the article.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disclaimer|disqus|footer|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|popup|promo|promoted|promotion|recommended|related|reply|replies|search|share|sharing|sidebar|sidebars|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|tracking|warning|widget|widgets)(?=$|[\s_-]|\d)",
+    r"(?<!\bhas)(?<!\bwith)(?<!\bno)(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|contentinfo|cookie|cookies|consent|disclaimer|disqus|footer|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|popup|promo|promoted|promotion|recommended|related|reply|replies|search|share|sharing|sidebar|sidebars|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|tracking|warning|widget|widgets)(?=$|[\s_-]|\d)",
     re.IGNORECASE,
 )
 #: Open tags that a new one closes, up to the tag that holds both.
@@ -55,6 +56,9 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 TEXT = "#"
+#: Tags that classes never leave out, and blocks of text, which are never the article's place.
+KEPT = frozenset("html body main article".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption caption address".split())
 
 
 def parse(html: str) -> list:
@@ -184,18 +188,35 @@ def expression(node: list) -> str:
 
 def left_out(kind: str) -> bool:
     tag, _, names = kind.partition(" ")
-    return tag in BOILERPLATE or bool(names and MARKS.search(names))
+    return tag in BOILERPLATE or bool(names and tag not in KEPT and MARKS.search(names))
+
+
+def is_named(kind: str) -> bool:
+    tag, _, names = kind.partition(" ")
+    return tag in ("article", "main") or "main" in names.split()
+
+
+def heaviest(node: list, children, mass) -> list:
+    """The innermost container that holds most of the text."""
+    while True:
+        whole = mass(node)
+        inner = [x for x in children(node) if x[0] != TEXT and x[0].partition(" ")[0] not in BLOCKS and mass(x) > 0.8 * whole]
+        if not inner or not whole:
+            return node
+        node = inner[0]
 
 
 def article_places(wrapper: list) -> tuple[set[int], set[int]]:
     """Identities of the nodes under which the article stands, and of texts that belong to the template."""
     named: list = []
 
+    def fixed(text: list) -> bool:
+        return text[4] is not None and text[3] >= 3
+
     def find(node: list) -> None:
-        tag, _, names = node[0].partition(" ")
         if node[0] == TEXT or left_out(node[0]) and node[0]:
             return
-        if tag in ("article", "main") or "main" in names.split():
+        if is_named(node[0]):
             named.append(node)
         else:
             for x in node[4]:
@@ -206,18 +227,12 @@ def article_places(wrapper: list) -> tuple[set[int], set[int]]:
 
         def mass(node: list) -> float:
             if node[0] == TEXT:
-                return node[5] * (1 if node[4] is None or node[3] < 3 else 0)
+                return 0 if fixed(node) else node[5]
             return 0 if node[0] and left_out(node[0]) else sum(map(mass, node[4]))
 
-        node = wrapper
-        while True:
-            inner = [x for x in node[4] if x[0] != TEXT and x[2] == 1 and mass(x) > 0.8 * mass(node)]
-            if not inner or mass(node) == 0:
-                break
-            node = inner[0]
-        named = [node]
+        named = [heaviest(wrapper, lambda node: [x for x in node[4] if x[2] == 1], mass)]
     template: set[int] = set()
-    for top in named:
+    for top in [wrapper, *named]:
         texts: list = []
 
         def gather(node: list, texts=texts) -> None:
@@ -228,31 +243,56 @@ def article_places(wrapper: list) -> tuple[set[int], set[int]]:
                     gather(x)
 
         gather(top)
+        if top is wrapper:
+            # Outside named places only those that every page's own place may leave out.
+            outer = {id(x) for x in texts if fixed(x)} if any(x[4] is None for x in texts) else set()
+            continue
+        outer -= {id(x) for x in texts}
         if any(x[4] is None for x in texts):
-            template |= {id(x) for x in texts if x[4] is not None and x[3] >= 3}
-    return {id(x) for x in named}, template
+            template |= {id(x) for x in texts if fixed(x)}
+    return {id(x) for x in named}, template | outer
 
 
 def extract(page: list, wrapper: list, places: tuple[set[int], set[int]]) -> list[str]:
-    """The texts of a page at the article's places of its host's wrapper."""
+    """The texts of a page at the article's places of its host's wrapper, or else at its own place."""
     tops, template = places
     out: list[str] = []
+    own: dict[int, int] = {}  # characters that are not the template's, by text and element
+    named = False
 
-    def walk(node: list, like: list | None, inside: bool) -> None:
-        at = 0
+    def walk(node: list, like: list | None, inside: bool) -> int:
+        nonlocal named
+        at, size = 0, 0
         kinds = like[4] if like is not None else []
         for child in node[1]:
             found = next((i for i in [*range(at, len(kinds)), *range(at)] if kinds[i][0] == child[0]), None)
             mate = kinds[found] if found is not None else None
             at = found if found is not None else at
             if child[0] == TEXT:
-                if inside and not (mate is not None and id(mate) in template and mate[4] == child[1]):
-                    out.append(child[1])
+                if not (mate is not None and id(mate) in template and mate[4] == child[1]):
+                    own[id(child)] = len(child[1])
+                    if inside:
+                        out.append(child[1])
             elif not left_out(child[0]):
-                walk(child, mate, inside or (mate is not None and id(mate) in tops))
-
-    walk(page, wrapper, id(wrapper) in tops)
-    return out
+                top = is_named(child[0])
+                named |= top
+                own[id(child)] = walk(child, mate, inside or top or (mate is not None and id(mate) in tops))
+            size += own.get(id(child), 0)
+        return size
+
+    whole = own[id(page)] = walk(page, wrapper, id(wrapper) in tops)
+    if named or 2 * sum(map(len, out)) >= whole:
+        return out
+
+    def texts(node: list) -> Iterator[str]:
+        for x in node[1]:
+            if id(x) in own:
+                if x[0] == TEXT:
+                    yield x[1]
+                else:
+                    yield from texts(x)
+
+    return list(texts(heaviest(page, lambda node: node[1], lambda node: own.get(id(node), 0))))
 
 
 def host(url: str = "url"):

@@ -47,6 +47,25 @@ def test_odd_rows(spark):
     assert texts(spark, []) == {}
 
 
+def test_pages_of_another_layout_have_their_own_place(spark):
+    body = lambda kind, n: f"<html><body><nav>Home</nav><{kind}><h1>Head {n}</h1><p>Some text of page {n}, told at length</p></{kind.split()[0]}><footer>f</footer></body></html>"
+    told = lambda n: f"Head {n}\n\nSome text of page {n}, told at length"
+    kinds = ["article"] * 4 + ["div class='post'"] * 2 + ["section id='story'"] + ["main class='menu-page'", "article class='related-story'"]
+    for url in ("http://mixed.example/{}", None, "::bad {}"):
+        out = texts(spark, [(n, url and url.format(n), body(k, n)) for n, k in enumerate(kinds)])
+        assert out == {n: told(n) for n in range(len(kinds))}
+    # No page of the host has an article: most have it in one place, some in another, which may have the first one as well.
+    rows = [(n, "http://plain.example/", body("div class='a'", n)) for n in range(20)] + [(n, "http://plain.example/", body("div class='b'", n)) for n in (20, 21)]
+    rows += [(22, "http://plain.example/", body("div class='b'", 22).replace("<nav>", "<div class='a'><p>see</p></div><nav>"))]
+    assert texts(spark, rows) == {n: told(n) for n in range(23)}
+
+
+def test_classes_leave_out_neither_body_nor_layout(spark):
+    for name in ("has-sidebar", "with-sidebar no-header", "search menu", "widget"):
+        page_ = f"<html class='{name}'><body class='{name}'><div class='ad'>Buy</div><div class='page has-sidebar'><article class='{name}'><p>Told</p></article></div></body></html>"
+        assert texts(spark, [(1, "http://x.example/", page_), (2, None, page_.replace(f"<article class='{name}'>", "<div>").replace("</article>", "</div>"))]) == {1: "Told", 2: "Told"}, name
+
+
 def test_alignment_makes_groups_options_and_slots():
     a, b, c = (W.wrap(W.parse(x)) for x in ("<ul><li>x<li>y</ul><p>same", "<ul><li>z</ul><div>d</div><p>same", "<p>same"))
     both = W.merged(W.merged(a, b, False), c, False)
