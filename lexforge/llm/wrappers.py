@@ -7,7 +7,8 @@ how many pages have it, how much text stands there and, until it becomes a slot,
 
 The wrapper of a host tells where its article is: in article or main, or else in the element that holds most of the text that
 varies. Menus, headers, footers, asides, forms, notices, adverts and comments are left out by tag, class, id or role; classes
-never leave out html, body, main or article, and has-sidebar and the like only tell of a layout. A page
+never leave out html, body, main or article, and has-sidebar and the like only tell of a layout. Texts that are the same on
+nearly all of a host's pages, three at least, belong to the template, when others vary; pages that repeat count once. A page
 is aligned with its host's wrapper, and the texts at the article's places are its blocks. A page that has no article or main,
 and less than half of its varying text at its host's place, has its own place: its element that holds most of that text.
 
@@ -56,6 +57,8 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 TEXT = "#"
+#: A text that is the same on so large a part of a host's different pages, and on three at least, belongs to the template.
+TEMPLATE = 0.9
 #: Tags that classes never leave out, and blocks of text, which are never the article's place.
 KEPT = frozenset("html body main article".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption caption address".split())
@@ -211,7 +214,7 @@ def article_places(wrapper: list) -> tuple[set[int], set[int]]:
     named: list = []
 
     def fixed(text: list) -> bool:
-        return text[4] is not None and text[3] >= 3
+        return text[4] is not None and text[3] >= max(3, TEMPLATE * wrapper[3])
 
     def find(node: list) -> None:
         if node[0] == TEXT or left_out(node[0]) and node[0]:
@@ -323,7 +326,7 @@ def infer(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([join_wrappers(x) for x in batch.column(1).to_pylist()], pa.string())], names=["host", "wrapper"])
 
     shape = "host string, wrapper string"
-    some = pages.where("html <> ''").select(host().alias("host"), "html").mapInArrow(local, shape)
+    some = pages.where("html <> ''").select(host().alias("host"), "html").distinct().mapInArrow(local, shape)
     some = some.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt")).agg(F.collect_list("wrapper").alias("wrappers")).select("host", "wrappers").mapInArrow(combine, shape)
     return some.groupBy("host").agg(F.collect_list("wrapper").alias("wrappers")).mapInArrow(combine, shape)
 

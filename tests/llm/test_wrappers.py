@@ -66,6 +66,17 @@ def test_classes_leave_out_neither_body_nor_layout(spark):
         assert texts(spark, [(1, "http://x.example/", page_), (2, None, page_.replace(f"<article class='{name}'>", "<div>").replace("</article>", "</div>"))]) == {1: "Told", 2: "Told"}, name
 
 
+def test_copies_and_rare_equal_texts_are_no_template(spark):
+    html = lambda n, more="": f"<body><article><h1>T {n}</h1><p>Told {n}</p>{more}</article></body>"
+    odd = html(0, "<h2>Part</h2><table><tr><td>cell</td></tr></table><blockquote>said</blockquote>")
+    rows = [(n, f"http://c.example/{n}", html(n)) for n in range(1, 9)] + [(100 + n, f"http://c.example/copy{n}", odd) for n in range(20)]
+    rows += [(200 + n, "http://c.example/part", html(20 + n, "<h3>Notes</h3>")) for n in range(3)]
+    out = texts(spark, rows)
+    assert all(out[100 + n] == "T 0\n\nTold 0\n\nPart\n\ncell\n\nsaid" for n in range(20))
+    assert all(out[200 + n] == f"T {20 + n}\n\nTold {20 + n}\n\nNotes" for n in range(3)) and out[1] == "T 1\n\nTold 1"
+    assert texts(spark, [(n, "http://d.example/", odd) for n in range(3)] + [(9, "http://d.example/", html(9))])[0] == out[100]
+
+
 def test_alignment_makes_groups_options_and_slots():
     a, b, c = (W.wrap(W.parse(x)) for x in ("<ul><li>x<li>y</ul><p>same", "<ul><li>z</ul><div>d</div><p>same", "<p>same"))
     both = W.merged(W.merged(a, b, False), c, False)
