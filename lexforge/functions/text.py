@@ -123,11 +123,10 @@ def few_shot_prompts(d: Dialect) -> str:
 
 @plan("N18")
 def split_scores(d: Dialect) -> str:
-    """Two-part splits of the commonest words: sum of ln(max(f, 2)) * length ** 3 * validity over parts ** 0.3, raised where both
-    are valid; f: how many words begin or end with the part."""
+    """Two-part splits of every word: sum of ln(max(f, 2)) * length ** 3 * validity over parts ** 0.3, raised where both
+    are valid; f: how many words begin or end with the part, which counts as an affix up to ten letters."""
     return f"""WITH {d.words}, ends AS (SELECT lang, part, count(*) AS f FROM (SELECT lang, left(word, n) AS part FROM words {d.count('1', 'least(length(word), 10)', 'n')} UNION ALL SELECT lang, right(word, n) FROM words {d.count('1', 'least(length(word) - 1, 10)', 'n')}) x GROUP BY lang, part),
-top AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS place FROM corpus WHERE length(word) >= 4) x WHERE place <= 1000),
-cuts AS (SELECT lang, word, left(word, n) AS a, right(word, length(word) - n) AS b FROM top {d.count('1', 'length(word) - 1', 'n')}),
+cuts AS (SELECT lang, word, left(word, n) AS a, right(word, length(word) - n) AS b FROM words {d.count('1', 'length(word) - 1', 'n')}),
 scores AS (SELECT c.lang, c.word, c.a, c.b, coalesce(x.f, 0) AS fa, coalesce(y.f, 0) AS fb FROM cuts c LEFT JOIN ends x ON c.lang = x.lang AND c.a = x.part LEFT JOIN ends y ON c.lang = y.lang AND c.b = y.part)
 SELECT lang, word, a, b, round((ln(greatest(fa, 2)) * power(length(a), 3) * CASE WHEN fa >= 5 THEN 2.0 WHEN fa >= 2 THEN 1.0 ELSE 0.15 END + ln(greatest(fb, 2)) * power(length(b), 3) * CASE WHEN fb >= 5 THEN 2.0 WHEN fb >= 2 THEN 1.0 ELSE 0.15 END) / power(2, 0.3) * CASE WHEN fa >= 5 AND fb >= 5 THEN 1.5 ELSE 1.0 END, 3) AS score FROM scores"""
 
@@ -147,6 +146,6 @@ def tags_of_texts(d: Dialect) -> str:
 
 @plan("J22 J23 J24")
 def known_substrings(d: Dialect) -> str:
-    """Substrings of 2 to 5 letters of the commonest words that are themselves words."""
-    return f"""WITH {d.words}, top AS (SELECT lang, word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, word) AS place FROM corpus) x WHERE place <= 2000)
-SELECT DISTINCT c.lang, c.part FROM (SELECT lang, substr(word, i, n) AS part FROM top {d.count('2', 'least(5, length(word))', 'n')} {d.count('1', 'length(word) - n + 1', 'i')}) c JOIN words w ON c.lang = w.lang AND c.part = w.word"""
+    """Substrings of 2 to 5 letters of all words that are themselves words."""
+    return f"""WITH {d.words}
+SELECT DISTINCT c.lang, c.part FROM (SELECT lang, substr(word, i, n) AS part FROM words {d.count('2', 'least(5, length(word))', 'n')} {d.count('1', 'length(word) - n + 1', 'i')}) c JOIN words w ON c.lang = w.lang AND c.part = w.word"""

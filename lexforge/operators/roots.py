@@ -105,7 +105,7 @@ SELECT f.lang, f.form, f.partners FROM forms f {d.of('LEFT ANTI JOIN', 'ANTI JOI
 @plan("J10 J13 J14 J15")
 def compound_parts(d: Dialect) -> str:
     """Words that are two words of three letters or more; for each left part, how many right parts and words."""
-    return f"""WITH {d.words}, cuts AS (SELECT lang, word, left(word, n) AS a, right(word, length(word) - n) AS b FROM words {d.count('3', 'length(word) - 3', 'n')} WHERE length(word) <= 24),
+    return f"""WITH {d.words}, cuts AS (SELECT lang, word, left(word, n) AS a, right(word, length(word) - n) AS b FROM words {d.count('3', 'length(word) - 3', 'n')}),
 both_known AS (SELECT c.lang, c.word, c.a, c.b FROM cuts c {d.of('LEFT SEMI JOIN', 'SEMI JOIN')} words x ON c.lang = x.lang AND c.a = x.word)
 SELECT lang, a AS left_part, count(DISTINCT b) AS n_right, count(DISTINCT word) AS n_words FROM (SELECT k.* FROM both_known k {d.of('LEFT SEMI JOIN', 'SEMI JOIN')} words y ON k.lang = y.lang AND k.b = y.word) z GROUP BY lang, a HAVING count(DISTINCT b) >= 2"""
 

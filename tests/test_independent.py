@@ -188,3 +188,32 @@ def test_splits_are_the_best_of_all():
 def test_segments():
     kinds = {"under": {"word", "prefix"}, "standing": {"word"}, "stand": {"word"}, "ing": {"suffix"}, "understand": {"word"}}
     assert segment("understanding", kinds) == ["under", "stand", "ing"] and segment("short", kinds) == ["short"] and segment("qqqqqqqqqq", kinds) == ["qqqqqqqqqq"]
+
+
+def test_split_scores_and_known_substrings_of_all_words(spark, words):
+    rows = defaultdict(dict)
+    for r in Q["split_scores"](spark, WHERE).collect():
+        rows[r.lang][r.a, r.b] = r.score
+    parts = defaultdict(set)
+    for r in Q["known_substrings"](spark, WHERE).collect():
+        parts[r.lang].add(r.part)
+    assert max(map(len, words.values())) > 2000
+    for lang, own in words.items():
+        f = affix_counts(own, False)
+        for w in own:
+            f.update(w[-n:] for n in range(1, min(10, len(w) - 1) + 1))
+        valid = lambda n: 2.0 if n >= 5 else 1.0 if n >= 2 else 0.15
+        value = lambda p, f=f: math.log(max(f[p], 2)) * len(p) ** 3 * valid(f[p])
+        want = {(w[:n], w[n:]): (value(w[:n]) + value(w[n:])) / 2**0.3 * (1.5 if min(f[w[:n]], f[w[n:]]) >= 5 else 1) for w in own for n in range(1, len(w))}
+        assert rows[lang] == pytest.approx(want, abs=2e-3)
+        assert parts[lang] == {w[i : i + n] for w in own for n in range(2, 6) for i in range(len(w) - n + 1)} & own
+
+
+def test_short_and_long_words_are_split(spark, tmp_path):
+    left, right = "abcdefghijklm", "nopqrstuvwxyz"
+    text = " ".join(["cat" * n for n in range(1, 21)] + ["ca", left, right, right * 2, left + right, left + right * 2, left + "cat"])
+    pd.DataFrame({"doc_id": [1], "text": [text], "lang": ["eng"], "source": ["s"], "n_chars": [len(text)]}).to_parquet(tmp_path / "documents.parquet")
+    (tmp_path / "part.parquet").symlink_to(f"{WHERE}/part.parquet")
+    got = {r.word: r.split for r in Q["word_splits"](spark, str(tmp_path)).collect()}
+    assert "cat" in got and "ca" in got and got["cat" * 20].replace("-", "") == "cat" * 20
+    assert {r.left_part: (r.n_right, r.n_words) for r in Q["compound_parts"](spark, str(tmp_path)).collect()}[left] == (3, 3)
