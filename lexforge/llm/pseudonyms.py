@@ -6,8 +6,12 @@ card number stays a card number with a right check digit, a date a date in the s
 the key and the kind alone, so equal values get equal pseudonyms in all documents, different values different ones, and
 restore() with the key inverts it. Values that fail the check are left as they are.
 
+Numbers beside a card, after a space, are told from it by check digits: one group of 13 to 19 digits comes first, then
+groups that have 16 together, 15, and other lengths. Where a card of several groups that hasn't 16 digits stands beside a
+number, a pseudonym may make a better place valid by chance, and restore() then takes that one.
+
 Halves of a string are lists of characters. A round shifts each character of one half within its class (digit, lower case,
-upper case, or the hexadecimal digits) by SHA-256 over key, round, kind and the other half. Dates are numbers in
+upper case, or the hexadecimal digits; in secrets with capitals, digits and letters A-F of each case) by SHA-256 over key, round, kind and the other half. Dates are numbers in
 319 * 229 days from 1900-01-01 and addresses in 2 ** 32, with halves of the two factors.
 
 Defined results: a null text stays null, an empty one empty; n_replaced is 0 for both; whole texts are read; rows are
@@ -26,7 +30,7 @@ DAYS = (319, 229)
 #: Kinds in the order in which they are tried at a place; none contains a group.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<=[=:]\s{0,3}[\"'])[0-9a-f]{32,128}(?=[\"'])",
+    "secret": r"(?<=[=:]\s{0,3}[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/-]|\.\d)",
     "social": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
@@ -50,15 +54,15 @@ def stream(key: str, kind: str, turn: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(kind), turn.cast("string"), half), 256)
 
 
-def shifted(char: Column, by: Column, alphabet: str | None) -> Column:
+def shifted(char: Column, by: Column, alphabet: str | None, letters: int = 26) -> Column:
     if alphabet:
         return F.substr(F.lit(alphabet), (F.pmod(F.position(char, F.lit(alphabet)) - 1 + by, F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
     code = F.ascii(char)
     within = lambda first, n: F.char(F.pmod(code - first + by, F.lit(n)) + first)
-    return F.when(char.between("0", "9"), within(48, 10)).when(char.between("a", "z"), within(97, 26)).when(char.between("A", "Z"), within(65, 26)).otherwise(char)
+    return F.when(char.between("0", "9"), within(48, 10)).when(char.between("a", "z"), within(97, letters)).when(char.between("A", "Z"), within(65, letters)).otherwise(char)
 
 
-def permuted(text: Column, key: str, kind: str, inverse: bool, alphabet: str | None = None) -> Column:
+def permuted(text: Column, key: str, kind: str, inverse: bool, alphabet: str | None = None, letters: int = 26) -> Column:
     """A string within its format."""
     chars, half = F.split(text, ""), F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.slice(chars, F.lit(1), half).alias("a"), F.slice(chars, half + 1, F.length(text)).alias("b"))
@@ -66,7 +70,7 @@ def permuted(text: Column, key: str, kind: str, inverse: bool, alphabet: str | N
 
     def turn(s: Column, i: Column) -> Column:
         fixed, moved = (s["a"], s["b"]) if inverse else (s["b"], s["a"])
-        new = bound(stream(key, kind, i, F.array_join(fixed, "")), lambda h: F.transform(moved, lambda c, j: shifted(c, sign * number(F.substr(h, 1 + (j * 4) % 60, F.lit(4))), alphabet)))
+        new = bound(stream(key, kind, i, F.array_join(fixed, "")), lambda h: F.transform(moved, lambda c, j: shifted(c, sign * number(F.substr(h, 1 + (j * 4) % 60, F.lit(4))), alphabet, letters)))
         return F.struct(new.alias("a"), fixed.alias("b")) if inverse else F.struct(fixed.alias("a"), new.alias("b"))
 
     turns = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
@@ -107,7 +111,17 @@ def card(value: Column, key: str, inverse: bool) -> Column:
         body = permuted(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", inverse)
         return bound(body, lambda b: F.concat(b, F.pmod(-check_sum(b, False), F.lit(10)).cast("string")))
 
-    return bound(digits(value), lambda d: F.when(check_sum(d, True) % 10 == 0, refilled(value, new(d))))
+    def ranges(groups: Column) -> Column:
+        """(order, first group, number of groups) of what may be a card."""
+        every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.transform(F.sequence(F.lit(1), F.size(groups) - i + 1), lambda n: F.struct(digits(F.array_join(F.slice(groups, i, n), "")).alias("d"), i.alias("i"), n.alias("n")))))
+        valid = F.filter(every, lambda r: F.length(r["d"]).between(13, 19) & (check_sum(r["d"], True) % 10 == 0))
+        return F.transform(valid, lambda r: F.struct(F.when(r["n"] == 1, 0).when(F.length(r["d"]) == 16, 1).otherwise(20 - F.length(r["d"])).alias("order"), r["i"].alias("i"), r["n"].alias("n")))
+
+    def put(groups: Column, at: Column) -> Column:
+        own = F.array_join(F.slice(groups, at["i"], at["n"]), " ")
+        return F.array_join(F.concat(F.slice(groups, F.lit(1), at["i"] - 1), F.array(refilled(own, new(digits(own)))), F.slice(groups, at["i"] + at["n"], F.size(groups))), " ")
+
+    return bound(F.split(value, " "), lambda groups: bound(F.array_min(ranges(groups)), lambda at: F.when(at.isNotNull(), put(groups, at))))
 
 
 def address(value: Column, key: str, inverse: bool) -> Column:
@@ -148,7 +162,7 @@ def email(value: Column, key: str, inverse: bool) -> Column:
 
 
 def secret(value: Column, key: str, inverse: bool) -> Column:
-    return permuted(value, key, "secret", inverse, HEX)
+    return F.when(value.rlike("[A-F]"), permuted(value, key, "secret", inverse, letters=6)).otherwise(permuted(value, key, "secret", inverse, HEX))
 
 
 KINDS = {"email": email, "secret": secret, "address": address, "date": date, "social": social, "card": card, "phone": phone}
@@ -158,7 +172,7 @@ def replaced(value: Column, key: str, inverse: bool) -> Column:
     """The pseudonym of a found value, or null where it fails its check."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind, make in KINDS.items():
-        shape = PATTERNS[kind] if kind != "secret" else f"[{HEX}]{{32,128}}"
+        shape = PATTERNS[kind] if kind != "secret" else "[0-9A-Fa-f]{32,}"
         out = out.when(value.rlike(f"^(?:{shape})$"), make(value, key, inverse))
     return out
 

@@ -70,3 +70,26 @@ def test_failed_checks_and_odd_rows_stay(spark):
 def test_different_values_differ(spark):
     new, n = run(spark, [f"10.0.{i // 250}.{i % 250}" for i in range(1000)])
     assert n == [1] * 1000 and len(set(new)) == 1000
+
+
+def test_capitalised_and_long_secrets(spark):
+    tokens = ["9233A8EC" * 5, "0123456789abcdefABCDEF" * 2, "ab12" * 50, "AB12" * 64]
+    texts = [f'TOKEN = "{t}" end' for t in tokens]
+    new, n = run(spark, texts)
+    assert n == [1] * 4 and run(spark, new, inverse=True)[0] == texts
+    for t, text in zip(tokens, new, strict=True):
+        assert t not in text and re.fullmatch(f'TOKEN = "[{"0-9a-f" if t.islower() else "0-9A-F" if t.isupper() else "0-9a-fA-F"}]{{{len(t)}}}" end', text)
+    assert [c.isupper() for c in new[1]] == [c.isupper() for c in texts[1]]
+
+
+def test_numbers_beside_a_card(spark):
+    card = "4068516892505468"
+    assert luhn(card) % 10 == 0
+    texts = [f"see {card}{more}." for more in ("", *(f" {i}" for i in range(10, 40)), " 123")] + [f"see 12 {card}.", f"see 1 {card} 2."]
+    new, n = run(spark, texts)
+    own = new[0][4:-1]
+    assert n == [1] * len(texts) and luhn(own) % 10 == 0 and new == [t.replace(card, own) for t in texts] and run(spark, new, inverse=True)[0] == texts
+    spaced = [f"4111 1111 1111 1111{more}" for more in ("", " 12", " 7", " 123")]
+    new, n = run(spark, spaced)
+    assert n == [1] * 4 and new == [new[0] + t[19:] for t in spaced] and run(spark, new, inverse=True)[0] == spaced
+    assert run(spark, ["4068516892505469 12"]) == (["4068516892505469 12"], [0])
