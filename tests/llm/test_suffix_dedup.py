@@ -84,3 +84,15 @@ def test_merge_sort_sorts_suffixes():
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         got = [data[p : p + 50].tobytes() for p in at[order[lo:hi]]]
         assert got == sorted(got) and sorted(order[lo:hi]) == list(range(lo, hi))
+
+
+def test_contexts_of_a_frequent_anchor_have_different_hashes():
+    rng, values, pw, n = np.random.default_rng(5), S.K.byte_values(False), S.K.Powers(), 300_000
+    lines = rng.integers(97, 123, (20_000, 24), np.uint8)
+    grams = np.concatenate([S.K.mix(S.K.span_hashes(S.K.prefix_hashes(x, values, pw), np.array([0]), np.array([24]), pw)) for x in lines])
+    docs = rng.integers(97, 123, (n, 76), np.uint8)
+    docs[:, 26:50] = lines[grams.argmin()]
+    found = [S.anchors(x.reshape(-1), np.arange(len(x) + 1) * 76, values, pw) for x in np.split(docs, 20)]
+    anchor, context = (np.concatenate([f[i] for f in found]) for i in (4, 5))
+    assert (anchor == grams.min()).sum() > 0.9 * n
+    assert len(np.unique(np.stack((anchor, context.astype(np.uint64))), axis=1).T) == len(anchor)
