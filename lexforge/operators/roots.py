@@ -102,7 +102,7 @@ forms AS (SELECT e.lang, e.form, count(DISTINCT e.anchor) AS partners FROM ends
 SELECT f.lang, f.form, f.partners FROM forms f {d.of('LEFT ANTI JOIN', 'ANTI JOIN')} words w ON f.lang = w.lang AND f.form = w.word"""
 
 
-@plan("J10 J13 J14 J15")
+@plan("")
 def compound_parts(d: Dialect) -> str:
     """Words that are two words of three letters or more; for each left part, how many right parts and words."""
     return f"""WITH {d.words}, cuts AS (SELECT lang, word, left(word, n) AS a, right(word, length(word) - n) AS b FROM words {d.count('3', 'length(word) - 3', 'n')}),
@@ -137,7 +137,7 @@ scored AS (SELECT lang, pattern, {d.names('restoration')} AS restorations, {d.to
 SELECT lang, pattern, restorations, score, place FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score DESC) AS place FROM scored) x WHERE place <= 60""".replace("\\1", "\\\\1" if d.spark else "\\1")
 
 
-@plan("N25 N27 N28 N30 K18 K27 K28 J13")
+@plan("N25 N27 N28 N30 K18 K27 K28")
 def restored_stems(d: Dialect) -> str:
     """Stems that are no word, each with the restored word of the smallest edit that is one."""
     return f"""WITH {d.words}, {stems(d, 1, 7)}, {edits(d)}

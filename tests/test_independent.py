@@ -217,3 +217,9 @@ def test_short_and_long_words_are_split(spark, tmp_path):
     got = {r.word: r.split for r in Q["word_splits"](spark, str(tmp_path)).collect()}
     assert "cat" in got and "ca" in got and got["cat" * 20].replace("-", "") == "cat" * 20
     assert {r.left_part: (r.n_right, r.n_words) for r in Q["compound_parts"](spark, str(tmp_path)).collect()}[left] == (3, 3)
+
+
+def test_covers_names_no_operator_that_is_missing():
+    from lexforge.plans.dialect import CATALOGUE
+
+    assert not {"J10", "J13", "J14", "J15"} & {x for q in CATALOGUE.values() for x in q.covers.split()}
