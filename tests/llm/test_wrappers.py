@@ -30,8 +30,9 @@ def test_named_article_and_template_text(spark):
     rows = [(n, f"http://a.example/{n}", page(n, more="<ul><li>one</li><li>two</ul>" if n % 2 else "")) for n in range(6)]
     rows += [(10, "http://single.example/", page(10))]
     out = texts(spark, rows)
-    assert all(out[n] == want(n, "\n\none\n\ntwo" if n % 2 else "") for n in range(6))
-    assert out[10] == want(10) + "\n\nRead more in our archive"
+    told = "\n\nRead more in our archive"  # in the article, so it stays
+    assert all(out[n] == want(n, "\n\none\n\ntwo" if n % 2 else "") + told for n in range(6))
+    assert out[10] == want(10) + told
 
 
 def test_article_found_where_text_varies(spark):
@@ -78,9 +79,48 @@ def test_copies_and_rare_equal_texts_are_no_template(spark):
 
 
 def test_alignment_makes_groups_options_and_slots():
-    a, b, c = (W.wrap(W.parse(x)) for x in ("<ul><li>x<li>y</ul><p>same", "<ul><li>z</ul><div>d</div><p>same", "<p>same"))
-    both = W.merged(W.merged(a, b, False), c, False)
-    assert W.expression(both) == "(<ul>(<li>(.*)</li>)+</ul>)?(<div>d</div>)?<p>same</p>"
+    own = [W.single(W.parse(x)) for x in ("<ul><li>x<li>y</ul><p>same", "<ul><li>z</ul><div>d</div><p>same", "<p>same")]
+    assert W.expression(W.merged(own)) == "(<ul>(<li>(.*)</li>)+</ul>)?(<div>d</div>)?<p>same</p>"
+    assert W.expression(W.Wrapper.unpack(W.merged(own).pack())) == W.expression(W.merged(own))
+
+
+def test_common_order_of_long_rows():
+    a, b = ["p", "ul"] * 10_000, ["h2"] + ["p", "ul"] * 9_000 + ["p"] * 900
+    found = W.pairs(a, b)
+    assert all(a[i] == b[j] for i, j in found) and len(found) > 18_000
+    assert all(x < y and i < j for (x, i), (y, j) in zip(found, found[1:], strict=False))
+    assert W.pairs(list("abcd"), list("xbyd")) == [(1, 1), (3, 3)] and W.pairs([], ["a"]) == []
+
+
+def test_deep_and_long_pages(spark):
+    deep = lambda n, depth: "<div>" * depth + f"<p>Text {n}" + "</div>" * depth
+    long = lambda n, k: "<article>" + f"<p>a {n}</p><ul><li>b {n}</ul>" * k + "</article>"
+    rows = [(n, "http://deep.example/", deep(n, d)) for n, d in enumerate((1_200, 5_000, 50_000, 3))]
+    rows += [(10 + n, "http://long.example/", long(n, k) if n != 2 else "<article><h1>T</h1><ul><li>x</ul></article>") for n, k in enumerate((10_000, 9_990, 0, 1))]
+    out = texts(spark, rows)
+    assert all(out[n] == f"Text {n}" for n in range(4))
+    assert out[12] == "T\n\nx" and all(out[10 + n] == "\n\n".join([f"a {n}", f"b {n}"] * k) for n, k in ((0, 10_000), (1, 9_990), (3, 1)))
+
+
+def test_equal_headings_and_formulas_stay(spark):
+    html = lambda n, tag: f"<body><nav>Menu</nav><{tag}><h2>Summary</h2><p>Told {n}: <math><mi>x</mi><mo>=</mo><mn>{n}</mn></math></p><div class='warning'>Mind {n}</div></{tag}></body>"
+    for tag in ("article", "div"):
+        out = texts(spark, [(n, "http://h.example/", html(n, tag)) for n in range(12)])
+        assert all(out[n] == f"Summary\n\nTold {n}: x={n}\n\nMind {n}" for n in range(12))
+    reader = "<main><article><p>Told</p></article><article class='comment'><p>Nice</p></article><form>Send</form></main>"
+    assert texts(spark, [(1, "http://r.example/", reader)]) == {1: "Told"}
+
+
+def test_partitioning_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(W, "FAN", 7)
+    kinds = ("div class='a'", "section", "td", "div", "p")
+    part = lambda n, k: f"<{kinds[(n * k) % 5]}>" + (f"Text {n % (k + 2)} of {k}" if (n + k) % 3 else "<ul><li>x<li>y</ul>") + f"</{kinds[(n * k) % 5].split()[0]}>"
+    rows = [(n, f"http://v{n % 2}.example/", "<body>" + "".join(part(n, k) for k in range(1 + n % 7)) + "</body>") for n in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    results = [{r.page_id: r.text for r in W.main_text(df.repartition(n)).collect()} for n in (1, 4, 61)]
+    assert results[0] == results[1] == results[2]
+    orders = [{r.host: r.wrapper for r in W.infer(df.repartition(n)).collect()} for n in (1, 5)]
+    assert orders[0] == orders[1] and len(orders[0]) == 2
 
 
 def test_given_table(spark):
