@@ -6,10 +6,12 @@ stands in a wavelet matrix; test phrases are searched backward through its ranks
 walking to the nearest sampled suffix position; their word spans are merged.
 
 Test phrases are an item's windows of 13 words, or all its words where it has fewer. The benchmark is a query set: it is
-read in blocks of at most BLOCK_BYTES of text, and only one block at a time is sent to executors.
+read in blocks of at most BLOCK_BYTES of text (or one longer item), of which each is a broadcast and a pass over the documents.
+A block's phrases are held as arrays of 32-bit numbers, 30 times its text at most while they are made, 12 times once made.
 
 Defined results: a null text has no words; items without words, or of a null id or text, have no phrases; items that
-repeat an id count once; documents are judged row by row, whatever their ids; further columns are ignored.
+repeat an id count once; documents are judged row by row, whatever their ids; an empty table has no rows, and against an empty
+benchmark nothing is hit; texts of any length are read whole; further columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from lexforge.llm import kernels as K
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SAMPLE = 16
 FOUND = "doc_id long, text_hash long, n_words long, spans array<struct<start:long,end:long,first:long,last:long>>, items array<string>"
 
@@ -84,7 +86,7 @@ class FMIndex:
         lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
         live = np.arange(len(phrases))
         for k in range(phrases.shape[1] - 1, -1, -1):
-            symbol = phrases[live, k]
+            symbol = phrases[live, k].astype(np.int64)
             known = symbol < len(self.below) - 1
             hi[live[~known]] = lo[live[~known]]
             live, symbol = live[known], symbol[known]
@@ -114,25 +116,35 @@ class Phrases:
         data, offsets = K.utf8(pa.array([t for _, t in items], pa.string()))
         hashes, first = K.word_hashes(data, offsets, K.ALNUM, K.byte_values(True), K.Powers())
         self.vocabulary = np.unique(hashes)
-        numbers = np.searchsorted(self.vocabulary, hashes) + 2  # 1 separates
+        numbers = (np.searchsorted(self.vocabulary, hashes) + 2).astype(np.int32)  # 1 separates
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.vocabulary >> np.uint64(42)).astype(np.int64)] = True
-        found: dict[tuple[int, ...], set[str]] = {}
-        for i, (name, _) in enumerate(items):
-            own = numbers[first[i] : first[i + 1]].tolist()
-            for at in range(max(1, len(own) - window + 1)) if own else ():
-                found.setdefault(tuple(own[at : at + window]), set()).add(name)
-        self.items = [sorted(x) for x in found.values()]
+        self.names = [name for name, _ in items]
+        size = np.diff(first)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for length in sorted({len(p) for p in found}):
-            own = [(i, p) for i, p in enumerate(found) if len(p) == length]
-            self.by_length[length] = np.array([i for i, _ in own]), np.array([p for _, p in own], np.int64)
+        holders, known = [], 0
+        for length in sorted(set(np.minimum(size, window).tolist()) - {0}):
+            of = np.flatnonzero(np.minimum(size, window) == length)
+            count = size[of] - length + 1
+            item = np.repeat(of, count).astype(np.int32)
+            start = np.repeat(first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            table = np.lib.stride_tricks.sliding_window_view(numbers, length)[start]
+            table, which = np.unique(table, axis=0, return_inverse=True)
+            self.by_length[length] = np.arange(known, known + len(table)), table
+            holders.append(np.unique(np.stack((which.reshape(-1) + known, item)), axis=1))
+            known += len(table)
+        phrase, self.holder = np.concatenate(holders, 1) if holders else np.zeros((2, 0), np.int64)
+        self.held = np.searchsorted(phrase, np.arange(known + 1))
         #: For each phrase length, whether a vocabulary number occurs in a phrase of it: a run must be that long.
         self.members = {}
         for length, (_, table) in self.by_length.items():
             self.members[length] = np.zeros(len(self.vocabulary) + 2, bool)
             self.members[length][table.ravel()] = True
 
+    def items(self, phrase: int) -> list[str]:
+        """Ids of the items that have a phrase."""
+        return [self.names[i] for i in self.holder[self.held[phrase] : self.held[phrase + 1]]]
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary numbers of words, 0 for others."""
         out = np.zeros(len(hashes), np.int64)
@@ -198,7 +210,7 @@ def shard(batch: pa.RecordBatch, phrases: Phrases, pw: K.Powers, values: np.ndar
             long.append(np.full(len(suffixes), length))
         which, where, long = (np.concatenate(x) for x in (which, where, long))
         for r, p in np.unique(np.stack((row[where], which)), axis=1).T.tolist() if len(where) else ():
-            items[r] += phrases.items[p]
+            items[r] += phrases.items(p)
         order = np.argsort(where, kind="stable")
         if len(order):
             left, right = where[order], np.maximum.accumulate((where + long)[order])
@@ -213,11 +225,12 @@ def shard(batch: pa.RecordBatch, phrases: Phrases, pw: K.Powers, values: np.ndar
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     block, held = [], 0
     for name, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct().toLocalIterator():
-        if block and held + len(text) > BLOCK_BYTES:
+        size = len(text.encode())
+        if block and held + size > BLOCK_BYTES:
             yield block
             block, held = [], 0
         block.append((name, text))
-        held += len(text)
+        held += size
     yield block
 
 

@@ -7,19 +7,26 @@ documents stand in the order of a keyed hash and are taken in passes until its t
 may be cut at a word. The share of its source's demand that lies before a copy, put through the inverse of the
 schedule's integral, is the copy's training position in 0..1, and documents are range-sorted by it.
 
-No source is gathered in one task: running totals go by source and one of 4096 hash buckets, then over the buckets.
+No source is gathered in one task: running totals go by source and one of 4096 hash buckets, then over the buckets. The hash
+is of doc_id and text, so rows share a bucket by chance or because they are equal in both. Texts are read once where the
+caller's columns are few enough to be written with the sizes (keep).
 
 Defined results: null or wordless texts have size 0 and are never taken; the null source is a source, the last; rows that
-repeat are placed one by one; null doc_ids are kept; the caller's further columns stay apart from those computed here.
+repeat are placed one by one; null doc_ids are kept; the caller's further columns stay apart from those computed here; an empty
+table has no rows; a text of any length is one document.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.llm.scratch import saved
+
 #: Weight at the start and at the end of training, repeating over the sources; the means are 5, 2 and 1.
 SCHEDULE = ((6.0, 4.0), (1.5, 2.5), (0.5, 1.5))
 CAP = 3
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the hash that orders a source's documents, and of those that name a bucket.
+ORDER_BITS, BUCKET_BITS = 60, 12
 
 
 def position(share: Column, first: Column, last: Column) -> Column:
@@ -27,6 +34,12 @@ def position(share: Column, first: Column, last: Column) -> Column:
     return F.when(first == last, share).otherwise(F.try_divide(F.sqrt(first * first + (last * last - first * first) * share) - first, last - first))
 
 
+def order(seed: int) -> Column:
+    """A number of ORDER_BITS from doc_id and text, by a hash that SQL engines share."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
+    return F.conv(F.substring(digest, 1, ORDER_BITS // 4), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, schedule: tuple, cap: float) -> DataFrame:
     """sources(key, source, source_size), a row for each source, with its schedule (first, last) and target."""
     by_name, everything = Window.orderBy(F.col("source").isNull(), "source"), Window.partitionBy(F.lit(1))
@@ -46,7 +59,9 @@ def allocate(docs: DataFrame, schedule: tuple = SCHEDULE, cap: float = CAP, seed
     """row (the caller's columns, or those of keep), size, source_size, target, taken, copies (pass, taken, position)."""
     key = F.concat(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(F.col("source").cast("string"), F.lit("")))
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), size.alias("size"), key.alias("key"), F.col("source").alias("source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")).withColumn("bucket", F.shiftrightunsigned("h", 52))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), size.alias("size"), key.alias("key"), F.col("source").alias("source"), order(seed).alias("h")).withColumn("bucket", F.shiftright("h", ORDER_BITS - BUCKET_BITS))
+    if keep:
+        rows = saved(rows, "sizes")
     parts = rows.groupBy("key", "bucket").agg(F.sum("size").alias("part"), F.first("source").alias("source"))
     sources = targets(parts.groupBy("key").agg(F.first("source").alias("source"), F.sum("part").alias("source_size")), schedule, cap)
     ahead = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,3 +94,23 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     first = F.try_element_at(F.col("copies.position"), F.lit(1))
     placed = allocate(docs, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", first.alias("position"))
     return placed.sort(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def oracle() -> str:
+    """The same result in DuckDB's SQL, plainly: windows over whole sources."""
+    firsts, lasts = (", ".join(str(float(x[i])) for x in SCHEDULE) for i in (0, 1))
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
+  ('0x' || substr(md5(concat_ws('|', '7', doc_id::VARCHAR, text)), 1, {ORDER_BITS // 4}))::BIGINT AS h FROM documents),
+s AS (SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
+t AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(SCHEDULE)} AS turn FROM s),
+w AS (SELECT *, ([{firsts}]::DOUBLE[])[turn + 1] AS first, ([{lasts}]::DOUBLE[])[turn + 1] AS last FROM t),
+f AS (SELECT *, (first + last) / 2 AS weight, source_size * {float(CAP)}::DOUBLE / ((first + last) / 2) AS fill FROM w),
+l AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(source_size * {float(CAP)}::DOUBLE) OVER (ORDER BY fill, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fill, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+g AS (SELECT coalesce(arg_min(level, fill) FILTER (level <= fill), max(fill)) AS found FROM l),
+m AS (SELECT key, source_size, first, last, least(source_size * {float(CAP)}::DOUBLE, found * weight) AS target FROM l, g),
+p AS (SELECT doc_id, size, source_size, target, first, last, coalesce(sum(size) OVER (PARTITION BY key ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+  CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM d JOIN m USING (key)),
+q AS (SELECT *, greatest(0, least(size, round(target - passes * source_size)::BIGINT - start)) AS rest FROM p),
+r AS (SELECT *, passes * size + rest AS taken, least(1.0::DOUBLE, (start + CASE WHEN passes > 0 THEN size ELSE rest END / 2.0::DOUBLE) / target) AS share FROM q)
+SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN CASE WHEN first = last THEN share ELSE (sqrt(first * first + (last * last - first * first) * share) - first) / (last - first) END END AS position FROM r"""

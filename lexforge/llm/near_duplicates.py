@@ -9,7 +9,8 @@ leaves a bucket with several components, the classes outside its largest compone
 Pairs whose corrected estimate is above the threshold less 4.5 standard errors are verified on full sets.
 
 Defined results: null or wordless texts have empty sets and link with nothing; null doc_ids link with nothing and keep a
-null component; repeated doc_ids are judged row by row; further columns are ignored.
+null component; rows that share a doc_id are one node, linked with whatever one of them is near to, and have a set size each;
+further columns are ignored. At the pipeline's 0.8 the bands miss a link five times in 100,000.
 """
 
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ def registers(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         sizes = np.diff(at)[open_rows]
         own = np.repeat(np.arange(len(open_rows)), sizes)
         take = np.repeat(at[open_rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        h = K.mix(hashes[take] + np.uint64(turn) * K.BASE)
+        h = K.mix(hashes[take] + np.uint64(turn * int(K.BASE) & (1 << 64) - 1))
         slot = (h & np.uint64(REGISTERS - 1)).astype(np.int64) if turn < REGISTERS else np.full(len(h), turn - REGISTERS)
         best = np.full(len(open_rows) * REGISTERS, none)
         np.minimum.at(best, own * REGISTERS + slot, h >> np.uint64(7))

@@ -96,7 +96,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def fit_rows(docs: DataFrame, grades: DataFrame, fit_rows_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, row starts and grades of the documents to fit; grades: (doc_id, grade). At most fit_rows_ grades are
-    chosen, so they are broadcast and no text is shuffled."""
+    chosen, so they are broadcast; of rows that repeat a doc_id one is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,7 +105,8 @@ def fit_rows(docs: DataFrame, grades: DataFrame, fit_rows_: int) -> tuple[np.nda
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["h", "grade", "ids"])
 
     chosen = grades.where("grade is not null and doc_id is not null").withColumn("h", F.xxhash64("doc_id", F.lit("quality"))).orderBy("h", "doc_id", "grade").limit(fit_rows_)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "h", F.col("grade").cast("int").alias("grade"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "h", F.col("grade").cast("int").alias("grade"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.groupBy("h", "grade").agg(F.min(F.struct("text_hash", "text")).alias("own")).select("own.text", "h", "grade")
     found = sorted((r.h, r.grade, bytes(r.ids)) for r in rows.mapInArrow(run, "h long, grade int, ids binary").toLocalIterator())
     return single([np.frombuffer(ids, np.uint32) for _, _, ids in found], np.array([grade for _, grade, _ in found], np.int64))
 

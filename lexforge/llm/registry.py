@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from lexforge.llm import licences, oracles
+from lexforge.llm import licences, mixture, oracles
 from lexforge.llm.decontamination import op2_decontaminate
 from lexforge.llm.language import op7_language
 from lexforge.llm.licences import op8_licences
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_decontaminate": oracles.DECONTAMINATION, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op6_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_licences": licences.oracle()}
+    return {"op1_mix_sources": mixture.oracle(), "op2_decontaminate": oracles.DECONTAMINATION, "op4_near_duplicates": oracles.NEAR_DUPLICATES, "op6_suffix_dedup": oracles.SUFFIX_DEDUP, "op8_licences": licences.oracle()}

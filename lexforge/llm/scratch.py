@@ -9,20 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset: of a local session a temporary folder, on a cluster one
+    in the warehouse, which executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="lexforge-")
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            where = tempfile.mkdtemp(prefix="lexforge-")
+        else:
+            where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lexforge"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written once and read again."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written once and read again; deleted when the application ends, if drop() hasn't done so before."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._lexforge_path = path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return out
 
 
