@@ -1,7 +1,9 @@
 """From raw documents to a training order: five stages, each written as Parquet and read again by the next.
 
-Rows, not ids, are judged: repeated rows are one document for the near-duplicate stage, which keeps one of them. Rows of
-a null doc_id are kept by every filter that doesn't reject their own text. An empty table stays empty.
+Rows, not ids, are judged: rows of one doc_id and text are one document for the near-duplicate stage, which keeps one of
+them; different texts of one doc_id are different documents. Rows of a null doc_id are kept by every filter that doesn't
+reject their own text. An empty table stays empty; a text of any length is one document; of further columns, none is read
+or returned.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,9 +25,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of near duplicates."""
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates.near_duplicates(docs, SIMILARITY).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang")
-    single = docs.join(kept, "doc_id", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").select(*COLUMNS)
+    named = docs.where("doc_id is not null").withColumn("id", F.col("doc_id"))
+    texts = named.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("first"), F.max(F.xxhash64("text")).alias("other"))
+    if not texts.where("first <> other").isEmpty():
+        # Further texts of an id come after all ids, under 62 bits of a hash.
+        own = F.when(F.xxhash64("text") == F.col("first"), F.col("doc_id")).otherwise(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62))
+        named = named.drop("id").join(texts, "doc_id").withColumn("id", own)
+    kept = near_duplicates.near_duplicates(named.select(F.col("id").alias("doc_id"), "text"), SIMILARITY).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    first = Window.partitionBy("id").orderBy("source", "lang", "n_chars")
+    single = named.join(kept, "id", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1").select(*COLUMNS)
     return single.unionByName(docs.where("doc_id is null"))
 
 
