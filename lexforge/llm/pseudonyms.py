@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-Found values are checked (card numbers by their check digit, addresses by their octets, dates by the calendar, telephone
-and social security numbers by their digits) and then permuted by a keyed Feistel network within their format: a
+Found values are checked (card numbers by their check digit, bank accounts by their remainder of 97, addresses by their octets,
+dates by the calendar, telephone and social security numbers by their digits, access keys by their prefix and length) and then
+permuted by a keyed Feistel network within their format: a
 card number stays a card number with a right check digit, a date a date in the same notation. The permutation depends on
 the key and the kind alone, so equal values get equal pseudonyms in all documents, different values different ones, and
 restore() with the key inverts it. Values that fail the check are left as they are.
@@ -10,12 +11,17 @@ Numbers beside a card, after a space, are told from it by check digits: one grou
 groups that have 16 together, 15, and other lengths. Where a card of several groups that hasn't 16 digits stands beside a
 number, a pseudonym may make a better place valid by chance, and restore() then takes that one.
 
+Of a mail address the name and the domain's labels but the last are permuted; domains of public providers and of examples stay,
+as they tell of nobody. Country codes and the prefixes of access keys stay. A telephone number without separators counts after
+a plus sign or a word like tel.
+
 Halves of a string are lists of characters. A round shifts each character of one half within its class (digit, lower case,
 upper case, or the hexadecimal digits; in secrets with capitals, digits and letters A-F of each case) by SHA-256 over key, round, kind and the other half. Dates are numbers in
 319 * 229 days from 1900-01-01 and addresses in 2 ** 32, with halves of the two factors.
 
 Defined results: a null text stays null, an empty one empty; n_replaced is 0 for both; whole texts are read; rows are
-independent, so repeated rows have equal results; other columns are kept as they are.
+independent, so repeated rows have equal results; null ids matter nowhere; an empty table has no rows; other columns are kept
+as they are.
 """
 
 from collections.abc import Callable
@@ -27,16 +33,25 @@ KEY = "lexforge"
 ROUNDS = 8
 HEX = "0123456789abcdef"
 DAYS = (319, 229)
+#: Domains whose name tells of nobody, country calling codes of one and two digits, prefixes of access keys.
+PUBLIC = ("example.com", "example.net", "example.org", "gmail.com", "googlemail.com", "gmx.de", "gmx.net", "hotmail.com", "icloud.com", "outlook.com", "proton.me", "web.de", "yahoo.com")
+CALLING = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+KEYS = {"AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "gh[opsu]_": "[A-Za-z0-9]{36}", "sk_live_": "[A-Za-z0-9]{24,}+", "xox[abp]-": "[A-Za-z0-9-]{20,}+"}
 #: Kinds in the order in which they are tried at a place; none contains a group.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<=[=:]\s{0,3}[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
+    "key": r"(?<![A-Za-z0-9_-])(?:" + "|".join(f"{a}{b}" for a, b in KEYS.items()) + r")(?![A-Za-z0-9_-])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
-    "date": r"(?<![\d/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/-]|\.\d)",
+    "date": r"(?<![\d/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/-]|\.\d)|(?<![\w.-])[1-9]\d? (?:" + MONTHS + r") \d{4}(?![\w-])",
     "social": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{9,15}(?![\w-])|(?<=\b(?:[Tt]el|TEL|[Pp]hone|[Ff]ax|[Mm]obile|[Cc]all)[.:]? )\d{9,12}(?![\w-])",
 }
+#: The shape of a found value alone where its pattern looks at what stands before it.
+WHOLE = {"secret": "[0-9A-Fa-f]{32,}", "phone": PATTERNS["phone"].rpartition("|(?<=")[0] + r"|\d{9,12}"}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -139,16 +154,17 @@ def date(value: Column, key: str, inverse: bool) -> Column:
     def written(pattern: str) -> Callable[[Column], Column]:
         return lambda n: F.when((n >= 0) & (n < DAYS[0] * DAYS[1]), F.date_format(F.date_add(first, permuted_number(n, *DAYS, key, "date", inverse).cast("int")), pattern))
 
-    for pattern in ("MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"):
+    for pattern in ("MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "d MMM yyyy"):
         new = bound(F.datediff(F.try_to_timestamp(value, F.lit(pattern)).cast("date"), first), written(pattern))
-        shape = {"M": r"^\d\d/", "d": r"^\d\d[/.]", "y": r"^\d{4}-"}[pattern[0]]
+        shape = {"M": r"^\d\d/", "d": r"^\d\d[/.]", "d ": r"^\d+ ", "y": r"^\d{4}-"}[pattern[:2] if pattern[1] == " " else pattern[0]]
         out = F.coalesce(F.when(value.rlike(shape), new), out)
     return out
 
 
 def phone(value: Column, key: str, inverse: bool) -> Column:
     """The country code stays."""
-    code, rest = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .-])", 0), F.regexp_replace(value, r"^\+\d{1,3}(?=[ .-])", "")
+    known = rf"^(?:\+\d{{1,3}}(?=[ .-])|{CALLING})"
+    code, rest = F.regexp_extract(value, known, 0), F.regexp_replace(value, known, "")
     return F.when(F.length(digits(value)).between(9, 15), F.concat(code, refilled(rest, permuted(digits(rest), key, "phone", inverse))))
 
 
@@ -157,23 +173,45 @@ def social(value: Column, key: str, inverse: bool) -> Column:
 
 
 def email(value: Column, key: str, inverse: bool) -> Column:
-    at = F.substring_index(value, "@", 1)
-    return F.concat(permuted(at, key, "email", inverse), F.lit("@"), F.substring_index(value, "@", -1))
+    at, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    labels = F.regexp_extract(domain, r"^(.*)\.[^.]*$", 1)
+    known = F.lower(domain).rlike(r"(?:^|\.)(?:" + "|".join(PUBLIC).replace(".", r"\.") + ")$")
+    return F.concat(permuted(at, key, "email", inverse), F.lit("@"), F.when(known, domain).otherwise(F.concat(permuted(labels, key, "domain", inverse), F.lit("."), F.substring_index(domain, ".", -1))))
+
+
+def access_key(value: Column, key: str, inverse: bool) -> Column:
+    prefix = F.regexp_extract(value, f"^(?:{'|'.join(KEYS)})", 0)
+    return F.concat(prefix, permuted(F.substr(value, F.length(prefix) + 1), key, "key", inverse))
+
+
+def account(value: Column, key: str, inverse: bool) -> Column:
+    """A bank account number: country stays, the check digits are made anew."""
+
+    def remainder(text: Column) -> Column:
+        return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+    def made(plain: Column) -> Column:
+        country = F.substring(plain, 1, 2)
+        new = bound(permuted(F.substr(plain, F.lit(5)), key, "account", inverse), lambda own: F.concat(country, F.lpad((98 - remainder(F.concat(own, country, F.lit("00")))).cast("string"), 2, "0"), own))
+        fill = lambda s, c: F.when(c == " ", F.struct(F.concat(s["out"], c).alias("out"), s["rest"].alias("rest"))).otherwise(F.struct(F.concat(s["out"], F.substr(s["rest"], F.lit(1), F.lit(1))).alias("out"), F.substr(s["rest"], F.lit(2)).alias("rest")))
+        valid = F.length(plain).between(15, 34) & (remainder(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1)
+        return F.when(valid, bound(new, lambda n: F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), n.alias("rest")), fill, lambda s: s["out"])))
+
+    return bound(F.replace(value, F.lit(" "), F.lit("")), made)
 
 
 def secret(value: Column, key: str, inverse: bool) -> Column:
     return F.when(value.rlike("[A-F]"), permuted(value, key, "secret", inverse, letters=6)).otherwise(permuted(value, key, "secret", inverse, HEX))
 
 
-KINDS = {"email": email, "secret": secret, "address": address, "date": date, "social": social, "card": card, "phone": phone}
+KINDS = {"email": email, "secret": secret, "key": access_key, "account": account, "address": address, "date": date, "social": social, "card": card, "phone": phone}
 
 
 def replaced(value: Column, key: str, inverse: bool) -> Column:
     """The pseudonym of a found value, or null where it fails its check."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind, make in KINDS.items():
-        shape = PATTERNS[kind] if kind != "secret" else "[0-9A-Fa-f]{32,}"
-        out = out.when(value.rlike(f"^(?:{shape})$"), make(value, key, inverse))
+        out = out.when(value.rlike(f"^(?:{WHOLE.get(kind, PATTERNS[kind])})$"), make(value, key, inverse))
     return out
 
 
