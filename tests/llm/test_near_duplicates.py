@@ -85,3 +85,29 @@ def test_odd_rows(spark):
     out = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in N.near_duplicates(df).collect())
     assert out == [(0, 1, 0, True), (1, 0, 1, True), (3, 1, 3, True), (3, 1, 3, True)]
     assert N.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_many_blocks(spark, monkeypatch):
+    """Buckets of several components, cut into blocks of four rows."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "SMALL", 2)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for n in range(90):
+        text = list(base)
+        for _ in range(n % 9):  # near the base, or near but not linked, or linked by steps
+            text[rng.randrange(0, 120, 7)] = f"v{rng.randrange(10**6)}"
+        rows.append((n, " ".join(text)))
+    for threshold in (0.85, 0.8):
+        out = {r.doc_id: (r.n_shingles, r.component_id) for r in result(spark, rows, threshold=threshold)}
+        assert out == brute(rows, threshold)
+        assert len({c for _, c in out.values()}) > 1
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"z{i}" for i in range(40)]
+    rows = [(3, " ".join(words)), (7, " ".join(words[:-1] + ["x"])), (7, " ".join(other)), (9, " ".join(other + ["y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.near_duplicates(df).collect()) == [(3, 3), (7, 3), (7, 3), (9, 3)]

@@ -37,3 +37,18 @@ def test_stages_take_empty_and_odd_tables(spark, tmp_path):
                 assert docs.columns == C.COLUMNS
         assert (docs.count() > 0) == bool(given)
     pd.testing.assert_index_equal(pd.Index([n for n, _ in C.STAGES]), pd.Index(["quality", "near_duplicates", "decontamination", "pseudonyms", "mixture"]))
+
+
+def test_texts_of_one_id_are_different_documents(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["x"])
+    other = " ".join(f"z{i}" for i in range(40))
+    rows = [(1, " ".join(words), "en", "a", 1), (7, near, "en", "a", 1), (7, other, "en", "a", 1), (7, other, "en", "b", 1), (8, other + " end", "en", "a", 1), (9, "alone", "en", "a", 1), (None, "alone", "en", "a", 1), (10, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS id", "2 AS first", "3 AS kept")
+    out = [(r.doc_id, r.text) for r in C.keep_one_copy(spark, docs, "").collect()]
+    # Of (7, other) and (8, other + " end") one stays, whichever text of 7 is its first.
+    assert len(out) == 5 and {(1, rows[0][1]), (9, "alone"), (None, "alone"), (10, None)} < set(out)
+    assert len({(7, other), (8, other + " end")} & set(out)) == 1
+    single = docs.where("doc_id <> 8")
+    out = {(r.doc_id, r.text) for r in C.keep_one_copy(spark, single, "").collect()}
+    assert (7, other) in out and (7, near) not in out and len(out) == 5
