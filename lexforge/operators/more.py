@@ -30,7 +30,7 @@ def duplicate_affixes(d: Dialect) -> str:
     return f"""WITH {d.words}, {kept(d)} SELECT a.lang, a.side, a.affix, a.freq, b.freq AS shorter_freq FROM kept a JOIN kept b ON a.lang = b.lang AND a.side = b.side AND b.affix = CASE WHEN a.side = 'prefix' THEN left(a.affix, length(a.affix) - 1) ELSE right(a.affix, length(a.affix) - 1) END WHERE a.freq < 0.5 * b.freq"""
 
 
-@plan("F01 S11 S12 S13 S15")
+@plan("F01")
 def page_titles(d: Dialect) -> str:
     """Titles, without those that start with a given name."""
     title = f"regexp_extract(html, {d.re('<title>([^<]*)</title>')}, 1)"
@@ -46,7 +46,7 @@ free AS (SELECT c.lang, c.root, count(*) AS freq FROM cuts c {d.of('LEFT SEMI JO
 SELECT coalesce(a.lang, b.lang) AS lang, coalesce(a.root, b.root) AS root, greatest(coalesce(a.freq, 0), coalesce(b.freq, 0)) AS freq, CASE WHEN a.root IS NOT NULL THEN 'linked' ELSE 'free' END AS kind FROM linked a FULL OUTER JOIN free b ON a.lang = b.lang AND a.root = b.root"""
 
 
-@plan("T07 T08 T09 T10 S39")
+@plan("")
 def routed_events(d: Dialect) -> str:
     """Events by the first route whose condition they meet."""
     return "SELECT CASE WHEN value > 100 THEN 'large' WHEN event_type LIKE 'p%' THEN 'p' WHEN user_id % 2 = 0 THEN 'even' ELSE 'rest' END AS route, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"

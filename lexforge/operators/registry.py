@@ -51,7 +51,7 @@ def language_ancestors(d: Dialect) -> str:
 SELECT key, part3, family FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, population DESC, part3) AS place FROM m) x WHERE place = 1"""
 
 
-@plan("F20 F21 F22 F23 J20 S46 S47 C09 C10 C11")
+@plan("F20 F21 F22 F23 J20 C09 C10 C11")
 def skills_for_documents(d: Dialect) -> str:
     """Skills that serve each language, by the language itself, all languages, or its family."""
     has = d.of("array_contains(split(s.languages, ','), l.part1)", "list_contains(string_split(s.languages, ','), l.part1)")
@@ -75,7 +75,7 @@ SELECT coalesce(s.script, 'Latin') AS script, coalesce(s.linkers, 'aeiou') AS li
 FROM letters l LEFT JOIN {d.rows('script, first, last, linkers, vowels', *SCRIPTS)} s ON {point} BETWEEN s.first AND s.last GROUP BY 1, 2"""
 
 
-@plan("S10 S17 S18 S19 S20 S48 U06")
+@plan("S10 U06")
 def upserted_customers(d: Dialect) -> str:
     """A keyed upsert: balances of customers are raised by their orders' total, customers that only the orders have are new."""
     return """WITH new AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey)

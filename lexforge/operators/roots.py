@@ -161,7 +161,7 @@ def stem_scores(d: Dialect) -> str:
 SELECT lang, affix, freq, round(ln(greatest(2, freq)) * (1 + (length(affix) - 3) * 0.25) * (1 + greatest(0.0, cover - 0.4) * 1.5) * 1.05, 4) AS score FROM covers"""
 
 
-@plan("N31 S51 S52")
+@plan("N31")
 def word_roles(d: Dialect) -> str:
     """Each word's first cut by its longest kept prefix: what the rest is."""
     return f"""WITH {d.words}, {kept(d)}, cuts AS (SELECT c.lang, c.word, max(length(k.affix)) AS n FROM (SELECT lang, word, left(word, n) AS part FROM words {d.count('2', 'length(word) - 2', 'n')}) c JOIN kept k ON k.side = 'prefix' AND c.lang = k.lang AND c.part = k.affix GROUP BY c.lang, c.word),

@@ -1,5 +1,6 @@
 """Readers and writers of files: Parquet parts, tab-separated, JSON and XML, each with a declared schema."""
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,3 +104,36 @@ def export_csv(df: DataFrame, path: str, share: str, least: float = 0.0, by: str
 
 def lines_of(column: str | Column) -> Column:
     return F.split(column, "\n")
+
+
+def part_name(prefix: str, number: int) -> str:
+    """The name of a part that parquet_parts() finds."""
+    return f"{prefix}_part{number}.parquet"
+
+
+def save_skills(df: DataFrame, path: str) -> None:
+    """(task_class, skill_id, name, languages, confidence) as JSON objects, a line for each class, skills by id."""
+    one = F.struct("name", "languages", "confidence")
+    by_class = df.groupBy("task_class").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("skill_id", one)))).alias("skills"))
+    by_class.select(F.to_json(F.create_map("task_class", "skills")).alias("value")).coalesce(1).sortWithinPartitions("value").write.mode("overwrite").text(path)
+
+
+def skills(spark: SparkSession, path: str) -> DataFrame:
+    """What save_skills() wrote; a skill of no languages serves all."""
+    shape = "map<string,map<string,struct<name:string,languages:array<string>,confidence:double>>>"
+    nested = spark.read.text(path).select(F.explode(F.from_json("value", shape)).alias("task_class", "skills"))
+    return nested.select("task_class", F.explode("skills").alias("skill_id", "s")).select("skill_id", "s.name", "task_class", "s.languages", "s.confidence")
+
+
+def save_dump(pages: DataFrame, path: str) -> None:
+    """(title, comment, text) as a bzip2-compressed XML dump of page elements."""
+    safe = lambda c: F.replace(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<page><title>"), safe(F.col("title")), F.lit("</title><revision><comment>"), safe(F.col("comment")), F.lit("</comment><text>"), safe(F.col("text")), F.lit("</text></revision></page>"))
+
+    def rooted(batches):
+        """One root element for each file."""
+        yield pd.DataFrame({"value": ["<pages>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</pages>"]})
+
+    pages.select(page.alias("value")).mapInPandas(rooted, "value string").write.option("compression", "bzip2").text(path)

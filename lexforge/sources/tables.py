@@ -57,6 +57,46 @@ class VersionedTable:
     def first(self, condition: str):
         return self.read().where(condition).first()
 
+    def add(self, rows: DataFrame) -> None:
+        self.write(self.read().unionByName(rows))
+
+    def update(self, values: DataFrame, keys: list[str]) -> bool:
+        """An upsert; whether a row that was there has changed (False where all were new or the same)."""
+        old = self.read()
+        columns = [c for c in values.columns if c not in keys]
+        both = old.alias("a").join(values.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+        differ = F.lit(False)
+        for c in columns:
+            differ |= ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c in old.columns else F.lit(True)
+        changed = not both.where(differ).isEmpty()
+        self.upsert(values, keys)
+        return changed
+
+    def delete_first(self, condition: str, order: list[str]) -> bool:
+        """Deletes the first row, in that order, that meets the condition; of equal rows one."""
+        table = self.read()
+        row = table.where(condition).orderBy(*order, *(c for c in table.columns if c not in order)).limit(1)
+        if row.isEmpty():
+            return False
+        self.write(table.exceptAll(row))
+        return True
+
+    def records(self, condition: str = "TRUE") -> tuple[DataFrame, int, int]:
+        """The rows that meet the condition, the number of all rows, and theirs."""
+        table = self.read()
+        total, met = table.agg(F.count("*"), F.count_if(F.coalesce(F.expr(condition), F.lit(False)))).first()
+        return table.where(condition), total, met
+
+
+class Store:
+    """Named tables in one folder."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def collection(self, name: str, schema: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.path}/{name}", schema)
+
 
 SEGMENTS = "segment_id string, shape array<int>, dtype string, num_elements bigint, chunk_no int, data array<float>"
 CHUNK = 100_000
@@ -73,3 +113,37 @@ def segment(table: DataFrame, segment_id: str) -> tuple[list[float], list[int]]:
     if row is None:
         raise ValueError(f"no segment {segment_id}")
     return row.data, row["shape"]
+
+
+class SegmentStore:
+    """Tensors in a folder of Parquet parts or, as a container, in parts that are one file for each save."""
+
+    def __init__(self, spark: SparkSession, path: str, container: bool = False) -> None:
+        self.spark, self.path, self.container = spark, path, container
+
+    def save(self, rows: DataFrame) -> None:
+        """Rows of SEGMENTS; chunks are dealt to files by segment, so that a segment's chunks stand together."""
+        rows = rows.coalesce(1) if self.container else rows.repartition("segment_id")
+        rows.sortWithinPartitions("segment_id", "chunk_no").write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(SEGMENTS).parquet(self.path)
+
+    def ids(self) -> DataFrame:
+        return self.read().select("segment_id").distinct()
+
+    def info(self, segment_id: str) -> dict:
+        """Shape, dtype and number of elements; ValueError for an unknown segment."""
+        row = self.read().where(F.col("segment_id") == segment_id).select("shape", "dtype", "num_elements").first()
+        if row is None:
+            raise ValueError(f"no segment {segment_id}")
+        return row.asDict()
+
+    def load(self, segment_id: str) -> tuple[list[float], list[int]]:
+        return segment(self.read(), segment_id)
+
+
+def tensors(table: DataFrame) -> DataFrame:
+    """(segment_id, shape, dtype, num_elements, data) of all segments, each whole: for segments that fit a row."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "data"))), lambda x: x["data"])
+    return table.groupBy("segment_id", "shape", "dtype", "num_elements").agg(F.flatten(parts).alias("data"))
