@@ -17,23 +17,26 @@ def affixes(d: Dialect, longest: int = 10, whole: bool = True) -> str:
     """CTE affixes(lang, side, affix, freq): words that begin or end with each string of 1 to longest letters, and with
     whole the word itself on both sides."""
     top = f"least(length(word), {longest})" if whole else f"least(length(word) - 1, {longest})"
-    return f"""affixes AS (SELECT lang, side, affix, count(*) AS freq FROM (
+    sql = f"""SELECT lang, side, affix, count(*) AS freq FROM (
   SELECT lang, 'prefix' AS side, left(word, n) AS affix FROM words {d.count('1', top, 'n')}
-  UNION ALL SELECT lang, 'suffix' AS side, right(word, n) AS affix FROM words {d.count('1', top, 'n')}) x GROUP BY lang, side, affix)"""
+  UNION ALL SELECT lang, 'suffix' AS side, right(word, n) AS affix FROM words {d.count('1', top, 'n')}) x GROUP BY lang, side, affix"""
+    return d.table(f"stored_affixes_{longest}_{int(whole)}", "affixes", sql, d.words)
 
 
-def edges(d: Dialect) -> str:
+def edges(d: Dialect, longest: int = 10) -> str:
     """CTE edges(lang, side, parent, child, parent_freq, freq): an affix and those one letter longer."""
-    return f"""edges AS (SELECT c.lang, c.side, p.affix AS parent, c.affix AS child, p.freq AS parent_freq, c.freq
+    sql = """SELECT c.lang, c.side, p.affix AS parent, c.affix AS child, p.freq AS parent_freq, c.freq
   FROM (SELECT *, CASE WHEN side = 'prefix' THEN left(affix, length(affix) - 1) ELSE right(affix, length(affix) - 1) END AS stem FROM affixes WHERE length(affix) > 1) c
-  JOIN affixes p ON c.lang = p.lang AND c.side = p.side AND c.stem = p.affix WHERE c.freq >= greatest(3, 0.01 * p.freq))"""
+  JOIN affixes p ON c.lang = p.lang AND c.side = p.side AND c.stem = p.affix WHERE c.freq >= greatest(3, 0.01 * p.freq)"""
+    return d.table(f"stored_edges_{longest}", "edges", sql, f"{d.words}, {affixes(d, longest)}" if d.stored is not None else "")
 
 
 def stems(d: Dialect, least: int = 2, longest: int = 8) -> str:
     """CTE derived(lang, side, affix, word): words that leave a word of two letters or more when the affix is taken off."""
-    return f"""cuts AS (SELECT lang, 'suffix' AS side, right(word, n) AS affix, word, left(word, length(word) - n) AS stem FROM words {d.count(str(least), f'least(length(word) - 2, {longest})', 'n')}
-  UNION ALL SELECT lang, 'prefix' AS side, left(word, n) AS affix, word, right(word, length(word) - n) AS stem FROM words {d.count(str(least), f'least(length(word) - 2, {longest})', 'n')}),
-derived AS (SELECT c.lang, c.side, c.affix, c.word FROM cuts c LEFT SEMI JOIN words w ON c.lang = w.lang AND c.stem = w.word)""".replace("LEFT SEMI JOIN", d.of("LEFT SEMI JOIN", "SEMI JOIN"))
+    cuts = f"""cuts AS (SELECT lang, 'suffix' AS side, right(word, n) AS affix, word, left(word, length(word) - n) AS stem FROM words {d.count(str(least), f'least(length(word) - 2, {longest})', 'n')}
+  UNION ALL SELECT lang, 'prefix' AS side, left(word, n) AS affix, word, right(word, length(word) - n) AS stem FROM words {d.count(str(least), f'least(length(word) - 2, {longest})', 'n')})"""
+    derived = f"SELECT c.lang, c.side, c.affix, c.word FROM cuts c {d.of('LEFT SEMI JOIN', 'SEMI JOIN')} words w ON c.lang = w.lang AND c.stem = w.word"
+    return f"{cuts}, {d.table(f'stored_derived_{least}_{longest}', 'derived', derived, f'{d.words}, {cuts}')}"
 
 
 @plan("S31 S32 A-corpus T-words")
@@ -74,7 +77,7 @@ def prefix_word_counts(d: Dialect) -> str:
     return f"WITH {d.words} SELECT lang, left(word, n) AS prefix, count(*) AS n_words FROM words {d.count('2', 'length(word)', 'n')} GROUP BY lang, left(word, n)"
 
 
-@plan("A07")
+@plan("A07", stored=True)
 def language_bias(d: Dialect) -> str:
     """Suffixing or prefixing: productivity and derived words of both sides, their ratios' geometric mean, and its class."""
     side = lambda s, p: f"coalesce(sum(CASE WHEN side = '{s}' THEN freq * length(affix) END), 0) AS {p}_productivity, count(CASE WHEN side = '{s}' THEN 1 END) AS {p}_candidates"
@@ -92,7 +95,7 @@ SELECT lang, n_words, CAST(suffix_productivity AS BIGINT) AS suffix_productivity
   round((least(1e0, (suffix_candidates + prefix_candidates) / 30e0) + least(1e0, n_words / 2000e0)) / 2, 6) AS confidence FROM means"""
 
 
-@plan("A07")
+@plan("A07", stored=True)
 def language_bias_by_length(d: Dialect) -> str:
     return f"""WITH {d.words}, {stems(d)}, types AS (SELECT lang, side, affix, count(*) AS freq FROM derived GROUP BY lang, side, affix HAVING count(*) >= 5),
 by_length AS (SELECT lang, CAST(length(affix) AS BIGINT) AS n, {d.total("CASE WHEN side = 'suffix' THEN freq * length(affix) ELSE 0 END")} AS suffix_sum, {d.total("CASE WHEN side = 'prefix' THEN freq * length(affix) ELSE 0 END")} AS prefix_sum FROM types GROUP BY lang, length(affix))
@@ -162,7 +165,7 @@ def kept(d: Dialect, longest: int = 10) -> str:
     vowel = f"'[{VOWELS}]'"
     fragment = "CASE length(a.affix) " + " ".join(f"WHEN {n} THEN {t}" for n, t in FRAGMENT.items()) + f" ELSE {FRAGMENT_LONG} END"
     matches = lambda text, p: f"regexp_like({text}, {p})" if d.spark else f"regexp_matches({text}, {p})"
-    return f"""{affixes(d, longest)}, {edges(d)},
+    return f"""{affixes(d, longest)}, {edges(d, longest)},
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, side ORDER BY freq DESC, affix) AS place FROM affixes WHERE length(affix) >= 3) x WHERE place <= 50),
 heavy AS (SELECT lang, side, sum(v) > 0 AND sum(1 - v) <= 3 * sum(v) AS heavy FROM (SELECT lang, side, CASE WHEN {matches('substr(affix, i, 1)', vowel)} THEN 1 ELSE 0 END AS v FROM top {d.count('1', '3', 'i')}) x GROUP BY lang, side),
 floors AS (SELECT lang, floor(power(count(*), 0.3)) AS least_freq FROM words GROUP BY lang),
@@ -190,13 +193,13 @@ kept AS (SELECT lang, side, affix, freq FROM facts WHERE
       AND NOT (second_to_first >= 0.85 AND first_share > 0.2 AND above < 2))) END)"""
 
 
-@plan("F06 F06a F06b F06c F06d F06e F06f F07 F08 F10 A33 A34")
+@plan("F06 F06a F06b F06c F06d F06e F06f F07 F08 F10 A33 A34", stored=True)
 def filtered_affixes(d: Dialect) -> str:
     """One relational pass: whether a parent is accepted comes down to whether it is a candidate."""
     return f"WITH {d.words}, {kept(d)} SELECT lang, side, affix, freq FROM kept"
 
 
-@plan("J05 J06 J07 J12d A35 A36 O05 K19")
+@plan("J05 J06 J07 J12d A35 A36 O05 K19", stored=True)
 def productive_affixes(d: Dialect) -> str:
     """(free-stem share + 0.05) * log2(frequency with longer candidates + 2) * sqrt(1 + longer candidates), the best 200 a side."""
     cut = lambda side, n, text: f"CASE WHEN {side} = 'prefix' THEN left({text}, {n}) ELSE right({text}, {n}) END"
@@ -209,7 +212,7 @@ scored AS (SELECT c.lang, c.side, c.affix, round((coalesce(CAST(f.hits AS DOUBLE
 SELECT lang, side, affix, score, place FROM (SELECT *, row_number() OVER (PARTITION BY lang, side ORDER BY score DESC, affix) AS place FROM scored) x WHERE place <= 200"""
 
 
-@plan("F12 U04")
+@plan("F12 U04", stored=True)
 def affixes_without_duplicates(d: Dialect) -> str:
     """Kept affixes that are no free word, and no free word with one letter more at the boundary."""
     return f"""WITH {d.words}, {kept(d)}, free AS (SELECT lang, word FROM corpus WHERE freq >= 20 AND length(word) >= 2)
@@ -217,7 +220,7 @@ SELECT k.lang, k.side, k.affix, k.freq FROM kept k {d.of('LEFT ANTI JOIN', 'ANTI
 WHERE NOT EXISTS (SELECT 1 FROM free g WHERE g.lang = k.lang AND g.word = CASE WHEN k.side = 'prefix' THEN left(k.affix, length(k.affix) - 1) ELSE right(k.affix, length(k.affix) - 1) END)"""
 
 
-@plan("O06 O07")
+@plan("O06 O07", stored=True)
 def affixes_by_length(d: Dialect) -> str:
     return f"WITH {d.words}, {kept(d)} SELECT lang, side, CAST(length(affix) AS BIGINT) AS n, {d.names('affix')} AS affixes FROM kept GROUP BY lang, side, length(affix)"
 

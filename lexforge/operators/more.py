@@ -52,7 +52,7 @@ def routed_events(d: Dialect) -> str:
     return "SELECT CASE WHEN value > 100 THEN 'large' WHEN event_type LIKE 'p%' THEN 'p' WHEN user_id % 2 = 0 THEN 'even' ELSE 'rest' END AS route, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
 
 
-@plan("K14 K16")
+@plan("K16")
 def frequent_pairs(d: Dialect) -> str:
     """Words that are a word and a kept suffix, or a kept prefix and a word, both in at least four words."""
     return f"""WITH {d.words}, {kept(d)}, cuts AS (SELECT lang, word, left(word, n) AS a, right(word, length(word) - n) AS b FROM words {d.count('2', 'length(word) - 2', 'n')}),

@@ -7,7 +7,18 @@ from lexforge.plans.dialect import Dialect, plan
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ"
 #: Latin letters that a stem's last letter may be exchanged with, as attested sound changes: spirantisation,
 #: softening, semivowels, voicing, velar to palatal, Grimm's law, rhotacism, lenition, nasals, liquids.
-PARTNERS = "ts tz ds dz cs ks yi ye fv sz pb td kg kč kc pf sr bv nm lr".split()
+PARTNERS = (
+    ("t", "s"), ("t", "z"), ("d", "s"), ("d", "z"),
+    ("c", "s"), ("k", "s"),
+    ("y", "i"), ("y", "e"),
+    ("f", "v"), ("s", "z"), ("p", "b"), ("t", "d"), ("k", "g"),
+    ("k", "č"), ("k", "c"),
+    ("p", "f"),
+    ("s", "r"),
+    ("b", "v"),
+    ("n", "m"),
+    ("l", "r"),
+)
 
 
 def v(text: str) -> str:
@@ -115,9 +126,11 @@ def edits(d: Dialect) -> str:
     last, prev, head = "right(stem, 1)", "substr(stem, length(stem) - 1, 1)", "left(stem, length(stem) - 1)"
     vowel = d.rows("v", *((c,) for c in VOWELS))
     pair = d.rows("x, y", *((a, b) for a, b in PARTNERS), *((b, a) for a, b in PARTNERS))
-    return f"""suffixes AS (SELECT lang, affix FROM derived WHERE side = 'suffix' GROUP BY lang, affix HAVING count(*) >= 40),
-cut_stems AS (SELECT w.lang, w.word, w.stem, f.word IS NOT NULL AS known FROM (SELECT lang, word, left(word, length(word) - n) AS stem, right(word, n) AS ending FROM words {d.count('1', 'least(length(word) - 3, 7)', 'n')}) w
-  JOIN suffixes s ON w.lang = s.lang AND w.ending = s.affix LEFT JOIN words f ON w.lang = f.lang AND w.stem = f.word),
+    suffixes = "suffixes AS (SELECT lang, affix FROM derived WHERE side = 'suffix' GROUP BY lang, affix HAVING count(*) >= 40)"
+    cut = f"""SELECT w.lang, w.word, w.stem, f.word IS NOT NULL AS known FROM (SELECT lang, word, left(word, length(word) - n) AS stem, right(word, n) AS ending FROM words {d.count('1', 'least(length(word) - 3, 7)', 'n')}) w
+  JOIN suffixes s ON w.lang = s.lang AND w.ending = s.affix LEFT JOIN words f ON w.lang = f.lang AND w.stem = f.word"""
+    return f"""{suffixes},
+{d.table("stored_cut_stems", "cut_stems", cut, f"{d.words}, {stems(d, 1, 7)}, {suffixes}")},
 edits AS (SELECT lang, word, stem, known, stem || v AS restored, {last} AS surface, {last} || v AS lexical FROM cut_stems CROSS JOIN {vowel} q WHERE NOT {v(last)}
   UNION ALL SELECT lang, word, stem, known, {head}, {last} || {last}, {last} FROM cut_stems WHERE {last} = {prev} AND NOT {v(last)}
   UNION ALL SELECT lang, word, stem, known, {head} || y, {last}, y FROM cut_stems JOIN {pair} p ON {last} = p.x
@@ -125,7 +138,7 @@ edits AS (SELECT lang, word, stem, known, stem || v AS restored, {last} AS surfa
   UNION ALL SELECT lang, word, stem, known, {head} || v, {last}, v FROM cut_stems CROSS JOIN {vowel} q WHERE {v(last)} AND v <> {last})"""
 
 
-@plan("A23 A24 J02 N26 F17 K21 K26 W05")
+@plan("A23 A24 J02 N26 F17 K21 K26 W05", stored=True)
 def alternation_rules(d: Dialect) -> str:
     """How stems change before suffixes: for stems that are no word any edit that gives one counts, for others doubling and
     clusters; pairs with five words or more; doubled consonants are one rule; the best 60 and ties."""
@@ -137,7 +150,7 @@ scored AS (SELECT lang, pattern, {d.names('restoration')} AS restorations, {d.to
 SELECT lang, pattern, restorations, score, place FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score DESC) AS place FROM scored) x WHERE place <= 60""".replace("\\1", "\\\\1" if d.spark else "\\1")
 
 
-@plan("N25 N27 N28 N30 K18 K27 K28")
+@plan("N25 N27 N28 N30 K18 K27 K28", stored=True)
 def restored_stems(d: Dialect) -> str:
     """Stems that are no word, each with the restored word of the smallest edit that is one."""
     return f"""WITH {d.words}, {stems(d, 1, 7)}, {edits(d)}
@@ -154,14 +167,14 @@ def rule_tiers(d: Dialect) -> str:
 SELECT lang, surface, lexical, CASE WHEN ({single}) OR (surface || lexical) IN ('iy', 'yi') OR (length(surface) = 2 AND left(surface, 1) = right(surface, 1) AND lexical = left(surface, 1)) THEN 'high' WHEN {double} THEN 'medium' ELSE 'low' END AS tier FROM pairs"""
 
 
-@plan("N20")
+@plan("N20", stored=True)
 def stem_scores(d: Dialect) -> str:
     """ln(max(2, f)) * (1 + (length - 3) / 4) * (1 + 1.5 * max(0, cover - 0.4)) of the words' kept prefixes."""
     return f"""WITH {d.words}, {kept(d)}, covers AS (SELECT k.lang, k.affix, k.freq, avg(length(k.affix) / CAST(length(w.word) AS DOUBLE)) AS cover FROM kept k JOIN (SELECT lang, word, left(word, n) AS part FROM words {d.count('1', 'least(length(word) - 1, 10)', 'n')}) w ON k.lang = w.lang AND k.affix = w.part WHERE k.side = 'prefix' GROUP BY k.lang, k.affix, k.freq)
 SELECT lang, affix, freq, round(ln(greatest(2, freq)) * (1 + (length(affix) - 3) * 0.25) * (1 + greatest(0.0, cover - 0.4) * 1.5) * 1.05, 4) AS score FROM covers"""
 
 
-@plan("N31")
+@plan("N31", stored=True)
 def word_roles(d: Dialect) -> str:
     """Each word's first cut by its longest kept prefix: what the rest is."""
     return f"""WITH {d.words}, {kept(d)}, cuts AS (SELECT c.lang, c.word, max(length(k.affix)) AS n FROM (SELECT lang, word, left(word, n) AS part FROM words {d.count('2', 'length(word) - 2', 'n')}) c JOIN kept k ON k.side = 'prefix' AND c.lang = k.lang AND c.part = k.affix GROUP BY c.lang, c.word),

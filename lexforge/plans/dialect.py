@@ -5,12 +5,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexforge.sources.workspace import place
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @dataclass(frozen=True)
 class Dialect:
+    """With stored, parts of a plan that stand in it more than once are tables of their own: their SQL by name, in order."""
+
     spark: bool
+    stored: dict[str, str] | None = None
+
+    def table(self, name: str, cte: str, sql: str, before: str = "") -> str:
+        """The CTE of that SQL, or of the table that it is stored in; before: the CTEs that it needs."""
+        if self.stored is None:
+            return f"{cte} AS ({sql})"
+        self.stored.setdefault(name, f"WITH {before} {sql}" if before else sql)
+        return f"{cte} AS (SELECT * FROM {name})"
 
     def of(self, spark: str, duckdb: str) -> str:
         return spark if self.spark else duckdb
@@ -61,8 +73,9 @@ class Dialect:
     @property
     def words(self) -> str:
         """CTEs: tokens(doc_id, lang, word), corpus(lang, word, freq), words(lang, word)."""
-        return f"""tokens AS (SELECT doc_id, lang, word FROM documents {self.each(self.found("lower(text)", r"\p{L}+"), "word")}),
-corpus AS (SELECT lang, word, count(*) AS freq FROM tokens GROUP BY lang, word), words AS (SELECT lang, word FROM corpus)"""
+        tokens = f"""tokens AS (SELECT doc_id, lang, word FROM documents {self.each(self.found("lower(text)", r"\p{L}+"), "word")})"""
+        corpus = self.table("stored_corpus", "corpus", "SELECT lang, word, count(*) AS freq FROM tokens GROUP BY lang, word", tokens)
+        return f"{tokens}, {corpus}, words AS (SELECT lang, word FROM corpus)"
 
 
 SPARK, DUCKDB = Dialect(True), Dialect(False)
@@ -75,14 +88,20 @@ class Query:
     plan: Callable[[Dialect], str] | None
     build: Callable[[SparkSession, str], DataFrame] | None
     check: str | None
+    stored: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         if self.build:
             return self.build(spark, sf_dir)
-        text = self.plan(SPARK)
+        d = Dialect(True, {}) if self.stored else SPARK
+        text = self.plan(d)
         for table in TABLES:
-            if table in text:
+            if table in text or table in str(d.stored):
                 spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        for name, sql in (d.stored or {}).items():
+            path, part = f"{place(spark, name)}/t", spark.sql(sql)
+            part.write.parquet(path)
+            spark.read.schema(part.schema).parquet(path).createOrReplaceTempView(name)
         return spark.sql(text)
 
     @property
@@ -93,11 +112,12 @@ class Query:
 CATALOGUE: dict[str, Query] = {}
 
 
-def plan(covers: str) -> Callable:
-    """Registers a plan under its function's name; covers: the operators of the survey."""
+def plan(covers: str, stored: bool = False) -> Callable:
+    """Registers a plan under its function's name; covers: the operators of the survey; stored: whether Spark works out the
+    parts that it needs more than once only once, in tables of the shared folder."""
 
     def register(f: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
-        CATALOGUE[f.__name__] = Query(f.__name__, covers, f, None, None)
+        CATALOGUE[f.__name__] = Query(f.__name__, covers, f, None, None, stored)
         return f
 
     return register
