@@ -1,7 +1,7 @@
 """Every named query but those of the training-data operators."""
 
 from lexforge.functions import text  # noqa: F401
-from lexforge.operators import affixes, cuts, engine, more, packing, registry, roots, sampling, segment, stores, vectors  # noqa: F401
+from lexforge.operators import affixes, cuts, engine, learning, more, packing, registry, restoring, roots, sampling, segment, stores, vectors  # noqa: F401
 from lexforge.plans.dialect import CATALOGUE
 
 

@@ -42,8 +42,17 @@ def pretokenised(d: Dialect) -> str:
 
 @plan("N03")
 def camel_case_parts(d: Dialect) -> str:
-    """Words with an inner capital, in their parts."""
-    return f"SELECT part, count(*) AS n FROM (SELECT word FROM documents {d.each(d.found('text', r'\p{Ll}+\p{Lu}\p{L}*'), 'word')}) x {d.each(d.found('word', r'\p{Lu}+\p{Ll}*|\p{Ll}+'), 'part')} GROUP BY part"
+    """Names written together, with capitals at their starts or a run of capitals first, in their parts: capitals before small letters
+    belong to the part that is a known word with them or without."""
+    made = f"""said AS (SELECT lang, word, place, doc_id FROM (SELECT doc_id, lang, place, word FROM documents {d.each_at(d.found("lower(text)", r"\p{L}+"), "place", "word")}) x WHERE length(word) > 1 AND instr(word, 'ß') = 0),
+joined AS (SELECT DISTINCT a.lang, upper(left(a.word, 1)) || substr(a.word, 2) || upper(left(b.word, 2)) || substr(b.word, 3) AS name FROM said a JOIN said b ON a.doc_id = b.doc_id AND a.place + 1 = b.place WHERE a.place % 7 = 0)"""
+    shape = r"'^(\p{Lu}+)(\p{Ll}+)$'"
+    part = lambda p, g: f"regexp_extract({p}, {d.re(shape[1:-1])}, {g})"
+    return f"""WITH {d.words}, {made}, parts AS (SELECT lang, name, part, place FROM joined {d.each_at(d.found('name', r'\p{Lu}+\p{Ll}*|\p{Ll}+'), 'place', 'part')}),
+shaped AS (SELECT *, {part('part', 1)} AS caps, {part('part', 2)} AS tail FROM parts),
+settled AS (SELECT s.lang, s.name, s.place, CASE WHEN length(s.caps) < 2 THEN s.part WHEN t.word IS NOT NULL THEN s.caps || ' ' || s.tail WHEN u.word IS NOT NULL THEN left(s.caps, length(s.caps) - 1) || ' ' || right(s.caps, 1) || s.tail ELSE s.part END AS told
+  FROM shaped s LEFT JOIN words t ON s.lang = t.lang AND s.tail = t.word LEFT JOIN words u ON s.lang = u.lang AND lower(right(s.caps, 1)) || s.tail = u.word)
+SELECT lang, name, {d.of("array_join(transform(array_sort(collect_list(struct(place, told))), x -> x.told), ' ')", "string_agg(told, ' ' ORDER BY place)")} AS parts FROM settled GROUP BY lang, name"""
 
 
 @plan("N06 N07")

@@ -47,8 +47,10 @@ def decoded_turns(d: Dialect) -> str:
 @plan("C01 C02")
 def padded_turns(d: Dialect) -> str:
     """Cut to 32 ids or padded on the right; and the reversed row padded on the left."""
+    row = lambda by, some: d.of(f"array_join(transform(array_sort(collect_list(CASE WHEN {some} THEN struct({by}, id) END)), x -> CAST(x.id AS STRING)), ' ')", f"string_agg(CASE WHEN {some} THEN CAST(id AS VARCHAR) END, ' ' ORDER BY {by})")
     return f"""WITH {ids(d)}, rows_ AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY place) AS nth, count(*) OVER (PARTITION BY conv_id, turn) AS n, id FROM sent)
-SELECT conv_id, turn, min(n) AS n, least(32, min(n)) AS n_kept, greatest(0, 32 - min(n)) AS n_pad, {d.total('CASE WHEN nth <= 32 THEN id * nth ELSE 0 END')} AS checksum, {d.total('CASE WHEN nth <= 32 THEN id * (33 - nth) ELSE 0 END')} AS reverse_checksum FROM rows_ GROUP BY conv_id, turn"""
+SELECT conv_id, turn, min(n) AS n, least(32, min(n)) AS n_kept, greatest(0, 32 - min(n)) AS n_pad, {d.total('CASE WHEN nth <= 32 THEN id * nth ELSE 0 END')} AS checksum, {d.total('CASE WHEN nth <= 32 THEN id * (33 - nth) ELSE 0 END')} AS reverse_checksum,
+  {row('nth', 'nth <= 32')} || repeat(' {PAD}', CAST(greatest(0, 32 - min(n)) AS INT)) AS padded, repeat('{PAD} ', CAST(greatest(0, 32 - min(n)) AS INT)) || {row('-nth', 'nth <= 32')} AS reversed_padded FROM rows_ GROUP BY conv_id, turn"""
 
 
 @plan("T02 S03")
@@ -105,7 +107,7 @@ def tokenizer_report(d: Dialect) -> str:
     return f"""WITH {ids(d)} SELECT count(*) AS n_tokens, count(DISTINCT id) AS n_used, round(avg(CASE WHEN id = {UNK} THEN 1e0 ELSE 0e0 END), 6) AS oov, round(count(*) / CAST(count(DISTINCT {d.of('struct(conv_id, turn)', '(conv_id, turn)')}) AS DOUBLE), 6) AS per_turn, round(count(DISTINCT id) / CAST((SELECT count(*) FROM vocab) AS DOUBLE), 6) AS utilisation FROM sent WHERE id >= {UNK}"""
 
 
-@plan("T05 T05a W06 A27 V09")
+@plan("W06 A27 V09")
 def pair_affinities(d: Dialect) -> str:
     """Adjacent tokens: how often, and the mean, extremes and deviation over a token's successors."""
     return f"""WITH {ids(d)}, pairs AS (SELECT id AS a, lead(id) OVER (PARTITION BY conv_id, turn ORDER BY place) AS b FROM sent), counts AS (SELECT a, b, count(*) AS n FROM pairs WHERE b IS NOT NULL GROUP BY a, b)

@@ -1,5 +1,7 @@
 """Lookups, upserts and reports over small dimensions: languages, families, scripts, skills."""
 
+from pyspark.sql import DataFrame
+
 from lexforge.plans.dialect import Dialect, plan
 
 #: The languages of the documents by ISO 639-1, -2B, -2T and -3 code, name, family and speakers in millions.
@@ -24,14 +26,37 @@ CLASSES = ("generative", "reverse_generative", "discriminative", "token_level",
 SCRIPTS = (("Latin", 65, 591, "aeiou", "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿ"), ("Greek", 880, 1023, "ιο", "αεηιουω"), ("Cyrillic", 1024, 1279, "ео", "аеиоуыэюя"))
 
 
+#: Views that take the place of the constants in Spark's plans.
+GIVEN: dict[str, str] = {}
+
+
+def use_dimensions(**frames: DataFrame) -> None:
+    """Dimensions to be read by the queries from now on: languages, skills or scripts, with the columns of the constants;
+    without any, the constants count again."""
+    GIVEN.clear()
+    for name, df in frames.items():
+        df.createOrReplaceTempView(f"given_{name}")
+        GIVEN[name] = f"given_{name}"
+
+
 def languages(d: Dialect) -> str:
+    if d.spark and "languages" in GIVEN:
+        return GIVEN["languages"]
     return d.rows("part1, part2b, part2t, part3, name, family, population", *LANGUAGES)
 
 
 def skills(d: Dialect) -> str:
+    if d.spark and "skills" in GIVEN:
+        return GIVEN["skills"]
     return d.rows("skill_id, name, task_class, languages, confidence", *SKILLS)
 
 
+def scripts(d: Dialect) -> str:
+    if d.spark and "scripts" in GIVEN:
+        return GIVEN["scripts"]
+    return d.rows("script, first, last, linkers, vowels", *SCRIPTS)
+
+
 @plan("F26 F27 F28 F29 F30 F31 F33 F35 A31")
 def document_languages(d: Dialect) -> str:
     """Names, codes and family of the documents' languages; unknown codes have the name '' and the default family."""
@@ -72,7 +97,7 @@ def script_letters(d: Dialect) -> str:
     point = d.of("ascii(letter)", "unicode(letter)")
     return f"""WITH {d.words}, letters AS (SELECT letter, {d.total('freq')} AS freq FROM (SELECT freq, letter FROM corpus {d.each(d.chars('word'), 'letter')}) x GROUP BY letter)
 SELECT coalesce(s.script, 'Latin') AS script, coalesce(s.linkers, 'aeiou') AS linkers, count(*) AS n_letters, {d.total('freq')} AS freq, count(CASE WHEN {d.of('instr(coalesce(s.vowels, ' + repr('aeiou') + '), letter)', 'instr(coalesce(s.vowels, ' + repr('aeiou') + '), letter)')} > 0 THEN 1 END) AS n_vowels
-FROM letters l LEFT JOIN {d.rows('script, first, last, linkers, vowels', *SCRIPTS)} s ON {point} BETWEEN s.first AND s.last GROUP BY 1, 2"""
+FROM letters l LEFT JOIN {scripts(d)} s ON {point} BETWEEN s.first AND s.last GROUP BY 1, 2"""
 
 
 @plan("S10 U06")

@@ -35,7 +35,7 @@ def fill_in_middle_rows(spark, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(run, "conv_id long, turn long, row array<int>, labels array<int>")
 
 
-@built("T03 T04 T04a T04b T04c T04d T06")
+@built("")
 def sampled_candidates(spark, sf_dir: str) -> DataFrame:
     """Of the most frequent followers of a word the first, second or third, with 85, 10 and 5 %, by a hash of the word."""
     spark.read.parquet(f"{sf_dir}/conversations.parquet").createOrReplaceTempView("conversations")

@@ -54,6 +54,12 @@ def dump_languages(spark, sf_dir: str) -> DataFrame:
     return rows.groupBy("language").agg(F.count("*").alias("n_pages"), F.min("title").alias("first_title"))
 
 
+@built("N14 N17", "SELECT 'P' || p_partkey AS title, p_type AS language, '' AS code, 'Etymology' AS grp, 'noun' AS section, '' AS meaning, item FROM part, LATERAL (SELECT unnest([p_name, '<' || p_brand || '> & more']) AS item) UNION ALL SELECT 'P' || p_partkey, 'Other ' || p_size, '', 'Etymology', '', '', 'last' FROM part")
+def lexical_entries(spark, sf_dir: str) -> DataFrame:
+    """The items of a dump's pages under their language, etymology group, section and meaning."""
+    return files.sections(_dump(spark, sf_dir))
+
+
 @built("S10 S16 S17 S18 S19 S20 S21 U06", """WITH base AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer UNION ALL SELECT -1, 'new', 'NONE', 0.5::DOUBLE),
 moved AS (SELECT k, name, CASE WHEN k % 7 = 0 THEN 'MOVED' ELSE segment END AS segment, balance FROM base UNION ALL SELECT -2, 'late', 'MOVED', NULL), gone AS (SELECT min(k) AS k FROM moved WHERE balance > 1000),
 kept AS (SELECT * FROM moved WHERE k <> (SELECT k FROM gone))

@@ -94,7 +94,7 @@ def clusters(spark, sf_dir: str) -> DataFrame:
     return model.transform(vectors).groupBy(F.col("prediction").cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"))
 
 
-@built("J21 V07")
+@built("J21")
 def nearest_in_cluster(spark, sf_dir: str) -> DataFrame:
     """Each query's most similar vector among those of its label's cluster: an equi-join on the cluster, then the best."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

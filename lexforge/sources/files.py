@@ -2,7 +2,7 @@
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,17 +83,37 @@ def xml_pages(spark: SparkSession, path: str, language: str = r"^==([^=]+)==$")
     return pages.select("title", F.col("revision.comment").alias("comment"), lines.alias("lines"), heads.alias("languages"))
 
 
+#: Headings of languages and sections, language codes in templates, definitions and rows of translations, sizes of files.
+LANGUAGE = r"^[^=]*==([\p{L}\p{M}\p{N}\s\p{P}&&[^=]]*)==[^=]*$"
+SECTION = r"===+([^=]+)===+"
+CODE = r"\{\{(?:syn|lb|l|lang=|head|hyph(?:enation)?|alter|audio|IPA)\|([a-z]{2,3})\|"
+MEANING = r"\{\{trans-top\|([^}]+)\}\}"
+TRANSLATION = r"\*:? ([^:{]+):.*?\{\{t\+?\|([a-z]{2,3})\|([^|}]+)"
+FILE_SIZE = r"(?i)\b\d+(?:\.\d+)?(?:MB|GB|KB|TB)\b"
+#: Lines within which a page must name a language's code.
+CODE_LINES = 100
+
+
 def sections(pages: DataFrame) -> DataFrame:
-    """(title, language, section, item) of wikitext pages: the list items under each language and section heading."""
+    """(title, language, code, grp, section, meaning, item) of wikitext pages: the list items and translations under each language,
+    etymology group and section heading; sections of pronunciation are left out, and so are pages that name no code early on."""
     rows = pages.select("title", F.posexplode("lines").alias("place", "line"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy("title").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.regexp_extract("line", r"^==([^=]+)==$", 1)
-    part = F.regexp_extract("line", r"^={3,}([^=]+)={3,}$", 1)
-    rows = rows.withColumn("language", F.last(F.when(head != "", head), True).over(before)).withColumn("section", F.last(F.when(head != "", F.lit("")).when(part != "", part), True).over(before))
-    item = F.regexp_extract("line", r"^[*#:]+\s*(.+)$", 1)
-    return rows.select("title", "language", "section", item.alias("item")).where("item <> '' and language is not null")
+    first = lambda p: F.nullif(F.trim(F.regexp_extract("line", p, 1)), F.lit(""))
+    last = lambda c: F.last(c, True).over(before)
+    part = first(SECTION)
+    rows = rows.withColumn("head", F.when(part.isNull(), first(LANGUAGE))).withColumn("part", part)
+    rows = rows.withColumn("language", last(F.col("head"))).withColumn("code", last(F.when(F.col("head").isNotNull(), F.lit("")).otherwise(first(CODE))))
+    rows = rows.withColumn("grp", last(F.when(F.col("head").isNotNull(), F.lit("Etymology")).when(F.col("part").contains("Etymology"), F.col("part"))))
+    rows = rows.withColumn("section", last(F.when(F.col("head").isNotNull(), F.lit("")).when(~F.col("part").contains("Etymology"), F.lower("part"))))
+    rows = rows.withColumn("meaning", last(F.when(F.col("head").isNotNull() | F.col("part").isNotNull(), F.lit("")).otherwise(first(MEANING))))
+    early = F.max(F.when((F.col("place") < CODE_LINES) & (F.col("code") != ""), F.lit(True))).over(Window.partitionBy("title"))
+    long = F.max("place").over(Window.partitionBy("title")) >= CODE_LINES
+    found = rows.withColumn("kept", F.coalesce(early, F.lit(False)) | ~long)
+    translated = F.when(F.regexp_extract("line", TRANSLATION, 2) != "", F.concat(F.trim(F.regexp_extract("line", TRANSLATION, 1)), F.lit(" ("), F.regexp_extract("line", TRANSLATION, 2), F.lit("): "), F.trim(F.regexp_extract("line", TRANSLATION, 3))))
+    item = F.when(F.col("section") == "translations", translated).otherwise(F.nullif(F.regexp_extract("line", r"^[*#:]+\s*(.+)$", 1), F.lit("")))
+    kept = found.where("kept and language is not null and section <> 'pronunciation' and head is null and part is null").select("title", "language", "code", "grp", "section", "meaning", item.alias("item"))
+    return kept.where("item is not null")
 
 
 def export_csv(df: DataFrame, path: str, share: str, least: float = 0.0, by: str = "freq") -> None:

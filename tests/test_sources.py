@@ -44,8 +44,18 @@ def test_xml_dump(spark, tmp_path):
     (tmp_path / "d.xml.bz2").write_bytes(bz2.compress(("<w>" + "\n".join(page.format(i) for i in range(3)) + "</w>").encode()))
     pages = S.xml_pages(spark, str(tmp_path / "d.xml.bz2"))
     assert sorted(pages.first().languages) == ["English", "French"] and pages.count() == 3
-    items = rows(S.sections(pages).where("title = 'T1'"), "language", "item")
-    assert items == [("T1", "English", "Noun", "one 1"), ("T1", "English", "Noun", "two"), ("T1", "French", "", "trois")]
+    items = rows(S.sections(pages).where("title = 'T1'").select("title", "language", "section", "item"), "language", "item")
+    assert items == [("T1", "English", "noun", "one 1"), ("T1", "English", "noun", "two"), ("T1", "French", "", "trois")]
+
+
+def test_lexical_sections(spark):
+    lines = ["{{also|x}}", "==English==", "===Etymology 1===", "* {{l|en|old}}", "====Noun====", "# {{lb|en|a}} a thing", "====Pronunciation====", "* /x/", "====Translations====", "{{trans-top|thing}}", "* French: {{t+|fr|chose|f}}", "*: Old French: {{t|fro|cose}}", "* none", "===Etymology 2===", "====Verb====", "# to do", "==German==", "===Nomen===", "* Ding"]
+    df = spark.createDataFrame([("T", lines), ("U", ["==X==", "* y"] + ["z"] * 120)], "title string, lines array<string>")
+    found = [tuple(r)[1:] for r in S.sections(df).collect()]
+    assert sorted(found) == sorted([
+        ("English", "en", "Etymology 1", "", "", "{{l|en|old}}"), ("English", "en", "Etymology 1", "noun", "", "{{lb|en|a}} a thing"), ("English", "en", "Etymology 1", "translations", "thing", "French (fr): chose"),
+        ("English", "en", "Etymology 1", "translations", "thing", "Old French (fro): cose"), ("English", "en", "Etymology 2", "verb", "", "to do"), ("German", "", "Etymology", "nomen", "", "Ding"),
+    ])
 
 
 def test_csv_export(spark, tmp_path):
