@@ -41,17 +41,17 @@ KEYS = {"AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "gh[opsu]_": "[A-Za-z0-9
 #: Kinds in the order in which they are tried at a place; none contains a group.
 PATTERNS = {
     "email": r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<=[=:]\s{0,3}[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
+    "secret": r"(?=[0-9A-Fa-f]{32})(?<=[=:]\s{0,3}[\"'])[0-9A-Fa-f]{32,}+(?=[\"'])",
     "key": r"(?<![A-Za-z0-9_-])(?:" + "|".join(f"{a}{b}" for a, b in KEYS.items()) + r")(?![A-Za-z0-9_-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})(?![\d/-]|\.\d)|(?<![\w.-])[1-9]\d? (?:" + MONTHS + r") \d{4}(?![\w-])",
     "social": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{9,15}(?![\w-])|(?<=\b(?:[Tt]el|TEL|[Pp]hone|[Ff]ax|[Mm]obile|[Cc]all)[.:]? )\d{9,12}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{9,15}(?![\w-])|(?=\d{9})(?<=\b(?:[Tt]el|TEL|[Pp]hone|[Ff]ax|[Mm]obile|[Cc]all)[.:]? )\d{9,12}(?![\w-])",
 }
 #: The shape of a found value alone where its pattern looks at what stands before it.
-WHOLE = {"secret": "[0-9A-Fa-f]{32,}", "phone": PATTERNS["phone"].rpartition("|(?<=")[0] + r"|\d{9,12}"}
+WHOLE = {"secret": "[0-9A-Fa-f]{32,}", "phone": PATTERNS["phone"].rpartition(r"|(?=\d{9})")[0] + r"|\d{9,12}"}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
