@@ -10,7 +10,8 @@ import pytest
 from lexforge import catalogue
 from lexforge.operators import packing as P
 from lexforge.operators.roots import VOWELS
-from lexforge.operators.segment import path_score, segment, splits_of
+from lexforge.operators.restoring import ENDINGS
+from lexforge.operators.segment import path_score, splits_of
 
 WHERE = "/root/testdata/sf0.001"
 Q = catalogue.queries()
@@ -185,11 +186,6 @@ def test_splits_are_the_best_of_all():
     assert splits_of("xyz", freq) == [] and splits_of("", freq) == []
 
 
-def test_segments():
-    kinds = {"under": {"word", "prefix"}, "standing": {"word"}, "stand": {"word"}, "ing": {"suffix"}, "understand": {"word"}}
-    assert segment("understanding", kinds) == ["under", "stand", "ing"] and segment("short", kinds) == ["short"] and segment("qqqqqqqqqq", kinds) == ["qqqqqqqqqq"]
-
-
 def test_split_scores_and_known_substrings_of_all_words(spark, words):
     rows = defaultdict(dict)
     for r in Q["split_scores"](spark, WHERE).collect():
@@ -219,7 +215,26 @@ def test_short_and_long_words_are_split(spark, tmp_path):
     assert {r.left_part: (r.n_right, r.n_words) for r in Q["compound_parts"](spark, str(tmp_path)).collect()}[left] == (3, 3)
 
 
-def test_covers_names_no_operator_that_is_missing():
-    from lexforge.plans.dialect import CATALOGUE
-
-    assert not {"J10", "J13", "J14", "J15"} & {x for q in CATALOGUE.values() for x in q.covers.split()}
+def test_replaced_endings(spark, words):
+    def put(word, rules):
+        fits = [(c, p) for c, p in rules if word.endswith(c) and len(c) < len(word)]
+        cut, new = max(fits, key=lambda x: len(x[0]), default=("", ""))
+        return word[: len(word) - len(cut)] + new
+
+    got = {(r.lang, r.word): (r.replaced, r.replaced_unless_empty) for r in Q["replaced_endings"](spark, WHERE).collect()}
+    some = [x for x in ENDINGS if x[1]]
+    want = {(lang, w): (put(w, ENDINGS), put(w, some)) for lang, own in words.items() for w in own if any(w.endswith(c) and len(c) < len(w) for c, _ in ENDINGS)}
+    assert got == want and len(got) > 50
+
+
+def test_pair_means(spark):
+    turns = pd.read_parquet(f"{WHERE}/conversations.parquet").sort_values(["conv_id", "turn"])
+    encoded = {(r.conv_id, r.turn): [int(x) for x in r.ids.split()] for r in Q["encoded_turns"](spark, WHERE).collect()}
+    mean, updates = defaultdict(float), defaultdict(int)
+    for key in zip(turns.conv_id, turns.turn, strict=True):
+        row = encoded[key]
+        for pair in zip(row, row[1:], strict=False):
+            mean[pair] = 0.9 * mean[pair] + 0.1 / math.log(max(2, len(row) + 1))
+            updates[pair] += 1
+    got = {(r.a, r.b): (r.updates, r.affinity) for r in Q["pair_means"](spark, WHERE).collect()}
+    assert got.keys() == mean.keys() and all(n == updates[p] and abs(a - mean[p]) < 2e-6 for p, (n, a) in got.items())
