@@ -7,7 +7,8 @@ walking to the nearest sampled suffix position; their word spans are merged.
 
 Test phrases are an item's windows of 13 words, or all its words where it has fewer. The benchmark is a query set: it is
 read in blocks of at most BLOCK_BYTES of text (or one longer item), of which each is a broadcast and a pass over the documents.
-A block's phrases are held as arrays of 32-bit numbers, 30 times its text at most while they are made, 12 times once made.
+A block's phrases are held as arrays; on 2.2 MB of random words they took 54 times the text while they were made, 24 times once made
+(190 MB for a whole block) and 11 times when sent.
 
 Defined results: a null text has no words; items without words, or of a null id or text, have no phrases; items that
 repeat an id count once; documents are judged row by row, whatever their ids; an empty table has no rows, and against an empty
